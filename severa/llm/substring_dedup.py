@@ -2,8 +2,8 @@
 
 Every window of `width` words is hashed. The hashes are dealt out by value, a few thousand to a row, so that all
 occurrences of a window meet in one of many equal groups: a passage's windows, however often they occur, spread over
-the groups. There each occurrence but the first is marked; the marks go back to their documents and merge into maximal
-removal intervals. Windows are judged on the input. Words are told apart by 64-bit hashes of 64-bit word hashes.
+the groups. There each occurrence but the first is marked; the marks go back to their documents, again many to a row,
+and merge into maximal removal intervals. Windows are judged on the input. Words are told apart by 64-bit hashes of 64-bit word hashes.
 """
 
 from __future__ import annotations
@@ -35,8 +35,37 @@ def _numbers(planes: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.int64)
 
 
-_DEALT = "part int, hashes binary, keys binary, occs binary, counts binary, gaps binary"
-_MARKS = "k long, occ int, starts array<int>"
+_PLACES = "keys binary, occs binary, counts binary, gaps binary"
+
+
+def _pack(keys: np.ndarray, occs: np.ndarray, new: np.ndarray, pos: np.ndarray) -> list[bytes]:
+    """Places by document: keys in unsigned order and occs of the documents, `new` their first places, pos ascending
+    within each."""
+    gaps = np.diff(pos, prepend=0)
+    gaps[new] = pos[new]
+    step = np.diff(keys.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63), prepend=np.uint64(0))
+    return [_planes(step), _planes(occs), _planes(np.diff(new, append=len(pos))), _planes(gaps)]
+
+
+def _unpack(keys: bytes, occs: bytes, counts: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, occ and position of every place."""
+    n, sums = _numbers(counts), _numbers(gaps)
+    begin = np.cumsum(n) - n
+    first = sums[begin]
+    sums = np.cumsum(sums)
+    key = (np.cumsum(_numbers(keys).view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64)
+    return np.repeat(key, n), np.repeat(_numbers(occs), n), sums - np.repeat(sums[begin] - first, n)
+
+
+def _batch(index: str, rows: list[list]) -> pa.RecordBatch:
+    """rows: (index, binary columns ...)."""
+    columns = list(zip(*rows, strict=True))
+    names = [index, *(["hashes"] if len(columns) == 6 else []), "keys", "occs", "counts", "gaps"]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+
+
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
 def _deal(width: int, parts: int):
@@ -50,61 +79,65 @@ def _deal(width: int, parts: int):
                 hashes, at = hashing.windows_of(words, first, width)
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))[at]
                 pos = at - first[doc]
-                # keys are ordered by unsigned value, so that gaps between them are never negative
                 rank = np.lexsort((occs[lo:hi], keys[lo:hi]))
                 place = np.empty(hi - lo, np.int64)
                 place[rank] = np.arange(hi - lo)
-                part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                part = _slot(hashes, parts)
                 order = np.lexsort((at, place[doc], part))
                 bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-                rows: dict[str, list] = {n: [] for n in ("part", "hashes", "keys", "occs", "counts", "gaps")}
+                rows = []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     own = order[a:b]
                     where = place[doc[own]]
                     new = np.flatnonzero(np.diff(where, prepend=-1))
                     ids = rank[where[new]] + lo
-                    gaps = np.diff(pos[own], prepend=0)
-                    gaps[new] = pos[own][new]
-                    key = keys[ids].astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-                    step = np.diff(key, prepend=np.uint64(0))
-                    rows["part"].append(int(part[own[0]]))
-                    rows["hashes"].append(hashes[own].tobytes())
-                    rows["keys"].append(_planes(step))
-                    rows["occs"].append(_planes(occs[ids]))
-                    rows["counts"].append(_planes(np.diff(new, append=b - a)))
-                    rows["gaps"].append(_planes(gaps))
-                if rows["part"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(v, pa.binary()) for n, v in rows.items() if n != "part")], names=list(rows))
+                    rows.append([int(part[own[0]]), hashes[own].tobytes(), *_pack(keys[ids], occs[ids], new, pos[own])])
+                if rows:
+                    yield _batch("part", rows)
+
+    return run
+
+
+def _repeats(groups: int):
+    """All windows of one part -> the places of those that occur earlier, by group of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
+        packed = zip(*(table.column(c).to_pylist() for c in ("keys", "occs", "counts", "gaps")), strict=True)
+        k, o, p = map(np.concatenate, zip(*(_unpack(*x) for x in packed), strict=True))
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        rep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        h, k, o, p = h[rep], k[rep], o[rep], p[rep]
+        order = np.lexsort((p, o, k, h))
+        h, k, o, p = h[order], k[order], o[order], p[order]
+        # A row that is an exact repeat of its doc_id's row has the same place: it is that place, not a later one.
+        again = np.zeros(len(h), bool)
+        again[1:] = h[1:] == h[:-1]
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+        late = again & ~((k == k[first]) & (o == o[first]) & (p == p[first]))
+        k, o, p = k[late], o[late], p[late]
+        group = _slot(hashing.mix(k.view(np.uint64)), groups)
+        order = np.lexsort((p, o, k, group))
+        k, o, p, group = k[order], o[order], p[order], group[order]
+        bounds = np.flatnonzero(np.diff(group, prepend=-1, append=groups)) if len(k) else np.zeros(1, np.int64)
+        rows = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            new = np.flatnonzero(np.concatenate([[True], (k[a + 1 : b] != k[a : b - 1]) | (o[a + 1 : b] != o[a : b - 1])]))
+            rows.append([int(group[a]), *_pack(k[a:b][new], o[a:b][new], new, p[a:b])])
+        empty = pa.schema([("docs", pa.int32()), *((c, pa.binary()) for c in ("keys", "occs", "counts", "gaps"))]).empty_table()
+        return pa.Table.from_batches([_batch("docs", rows)]) if rows else empty
 
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """All windows of one part -> the places of those that occur earlier, by document."""
-    hashes, keys, occs, pos = [], [], [], []
-    for h, k, o, n, g in zip(*(table.column(c).to_pylist() for c in ("hashes", "keys", "occs", "counts", "gaps")), strict=True):
-        counts, gaps = _numbers(n), _numbers(g)
-        begin = np.cumsum(counts) - counts
-        sums = np.cumsum(gaps)
-        hashes.append(np.frombuffer(h, np.uint64))
-        pos.append(sums - np.repeat(sums[begin] - gaps[begin], counts))
-        keys.append(np.repeat(np.cumsum(_numbers(k).view(np.uint64)) ^ np.uint64(1 << 63), counts).view(np.int64))
-        occs.append(np.repeat(_numbers(o), counts))
-    h, k, o, p = map(np.concatenate, (hashes, keys, occs, pos))
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    rep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    h, k, o, p = h[rep], k[rep], o[rep], p[rep]
-    order = np.lexsort((p, o, k, h))
-    h, k, o, p = h[order], k[order], o[order], p[order]
-    # a row that is an exact repeat of its doc_id's row has the same place: it is that place, not a later one
-    again = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h)))) if len(h) else np.zeros(0, np.int64)
-    late = again & ~((k == k[first]) & (o == o[first]) & (p == p[first]))
-    k, o, p = k[late], o[late], p[late]
+def _gather(table: pa.Table) -> pa.Table:
+    """All places of one group of documents -> a row for each document."""
+    packed = zip(*(table.column(c).to_pylist() for c in ("keys", "occs", "counts", "gaps")), strict=True)
+    k, o, p = map(np.concatenate, zip(*(_unpack(*x) for x in packed), strict=True))
     order = np.lexsort((p, o, k))
     k, o, p = k[order], o[order], p[order]
-    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])) if len(k) else np.zeros(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])]))
     starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(k)), pa.int32()), pa.array(p, pa.int32()))
     return pa.table({"k": pa.array(k[new], pa.int64()), "occ": pa.array(o[new], pa.int32()), "starts": starts})
 
@@ -153,9 +186,9 @@ def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = keyed(docs, text_of().alias("text"), F.struct(*rest).alias("doc"))
     marks = (
-        rows.select("k", "occ", "text").mapInArrow(_deal(width, parts), _DEALT)
-        .groupBy("part").applyInArrow(_repeats, _MARKS)
-        .groupBy("k", "occ").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        rows.select("k", "occ", "text").mapInArrow(_deal(width, parts), f"part int, hashes binary, {_PLACES}")
+        .groupBy("part").applyInArrow(_repeats(parts), f"docs int, {_PLACES}")
+        .groupBy("docs").applyInArrow(_gather, "k long, occ int, starts array<int>")
     )
     joined = rows.join(marks, ["k", "occ"], "left").select("text", "starts", "doc")
     kind = joined.schema["doc"].dataType.simpleString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_join
 from .substring_dedup import dedup_substrings
 
 
@@ -32,5 +33,10 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) A
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op6_substring_dedup": op6_substring_dedup}
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=5, threshold=0.8).select("doc_id", "class_id", "n_links")
+
+
+QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op7_jaccard_join": op7_jaccard_join}
 ORACLES = {"op6_substring_dedup": OP6}

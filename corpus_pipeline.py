@@ -1,5 +1,70 @@
-"""The training-text pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The training-text pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from severa.llm import toxicity
+from severa.llm.decontamination import decontaminate
+from severa.llm.jaccard_join import drop_near_copies
+from severa.llm.source_mix import mix_sources
+from severa.llm.substring_dedup import dedup_substrings
+from severa.staging import stage
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score a half or more go. The model learns from the labelled documents among them."""
+    weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, weights).select(*COLUMNS)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest doc_id: five-word shingles, similarity 0.8 or more."""
+    return drop_near_copies(docs, n=5, threshold=0.8).select(*COLUMNS)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words covered by 20-word windows that occur earlier go; a text that loses none stays as it is. No document goes."""
+    out = dedup_substrings(docs, width=20)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return out.select("doc.doc_id", text.alias("text"), "doc.lang", "doc.source", F.length(text).cast("long").alias("n_chars"))
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in 13-word windows of the benchmark go."""
+    carried = docs.select(*COLUMNS, F.col("text").alias("whole"))
+    out = decontaminate(carried, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=13).where("not contaminated")
+    return out.select("doc.doc_id", F.col("doc.whole").alias("text"), "doc.lang", "doc.source", "doc.n_chars")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the number of copies and the words that makes."""
+    out = mix_sources(docs.select(*COLUMNS, F.col("text").alias("whole"))).where("copies > 0")
+    return out.select("doc.doc_id", F.col("doc.whole").alias("text"), "doc.lang", "doc.source", "doc.n_chars", "size", "source_size", "target", "copies", "taken")
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near copies", remove_near_copies),
+    ("repeated passages", remove_repeated_passages),
+    ("decontamination", remove_contaminated),
+    ("mix", mix),
+]
+
+#: Learnt scores, hashed sketches and the knapsack have no SQL; tests/llm/test_pipeline.py holds each stage to brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each staged in the shared folder, over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return docs

@@ -28,7 +28,7 @@ BROADCAST_ROWS = 500_000
 def _bin(value: Column) -> Column:
     """The value with all but its leading bits cleared."""
     low = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
-    return F.shiftleft(F.shiftright(value, low), low)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
 
 
 def features(docs: DataFrame) -> DataFrame:

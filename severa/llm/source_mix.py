@@ -39,8 +39,9 @@ def targets(sources: DataFrame) -> DataFrame:
     whole = Window.partitionBy()
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", left / heavy)
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(whole)
+    rows = rows.withColumn("level", left / heavy).withColumn("at", F.row_number().over(order))
+    # The first source in that order which its level doesn't cap has the level of all the uncapped.
+    level = F.min_by("level", F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("at"))).over(whole)
     return rows.withColumn("level", F.coalesce(level, F.lit(0.0))).select("source", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
 
 

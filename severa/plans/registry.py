@@ -41,4 +41,4 @@ def _load() -> None:
         import_module(f"severa.plans.{module}")
 
 
-MODULES: list[str] = []
+MODULES = ["stats", "rows", "merging", "reports", "events"]

@@ -34,7 +34,7 @@ e AS (SELECT company, day, row_number() OVER (PARTITION BY company ORDER BY day)
 @query("ml10_event_dataset", f"""{_EV}, m AS (SELECT company, day, arg_min(state, struct_pack(a := -c, b := state)) AS state FROM (SELECT company, day, state, count(*) AS c FROM k GROUP BY ALL) GROUP BY ALL),
   a AS (SELECT e.company, e.day, count(*) FILTER (k.day = e.day) AS day_notices, count(DISTINCT k.state) FILTER (k.day = e.day) AS day_states, CAST(coalesce(sum(layoff_count) FILTER (k.day = e.day), 0) AS BIGINT) AS day_layoffs, count(*) FILTER (k.day = e.day AND closure_category = 'Closure') AS day_closures,
     count(*) FILTER (k.day < e.day AND k.day > e.day - 365) AS prior_notices_1y, count(*) FILTER (k.day < e.day AND k.day > e.day - 1095) AS prior_notices_3y, CAST(coalesce(sum(layoff_count) FILTER (k.day < e.day), 0) AS BIGINT) AS prior_layoffs,
-    count(DISTINCT k.state) FILTER (k.day < e.day) AS prior_states, e.day - max(k.day) FILTER (k.day < e.day) AS days_since_prev FROM e JOIN k ON k.company = e.company AND k.day <= e.day GROUP BY ALL),
+    count(DISTINCT k.state) FILTER (k.day < e.day) AS prior_states, e.day - max(k.day) FILTER (k.day < e.day) AS days_since_prev FROM e JOIN k ON k.company = e.company AND k.day <= e.day GROUP BY e.company, e.day),
   sd AS (SELECT state, day, count(*) AS n FROM x GROUP BY ALL), s9 AS (SELECT state, day, CAST(sum(n) OVER (PARTITION BY state ORDER BY day RANGE 89 PRECEDING) AS BIGINT) AS state_notices_90d FROM sd),
   nd AS (SELECT day, sum(n) AS n FROM sd GROUP BY 1), n9 AS (SELECT day, CAST(sum(n) OVER (ORDER BY day RANGE 89 PRECEDING) AS BIGINT) AS us_notices_90d FROM nd), f AS (SELECT state, min(day) AS first FROM x GROUP BY 1)
   SELECT e.*, m.state, a.* EXCLUDE (company, day), state_notices_90d, us_notices_90d, e.day - f.first AS state_days, e.day + 365 < 11515 AS labelled, CASE WHEN e.day + 365 < 11515 THEN CAST(coalesce(next_gap_days <= 365, false) AS INT) END AS label, least(11515, e.day + 365) - e.day AS followup_days

@@ -41,7 +41,7 @@ def resolve_revisits(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED
     earlier one. Resolved headers are the response's, with the permitted ones of the revisit put in. Responses have
     verdict 'response', and null or unreadable URLs or times 'no_response'. Repeated rows each get a result."""
     from_rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("c"))
-    rows = from_rows.select("c", canonical_url(F.col("c.url")).alias("url_key"), F.window("c.fetched", block).start.alias("block"))
+    rows = from_rows.where("c.fetched is not null and c.url is not null").select("c", canonical_url(F.col("c.url")).alias("url_key"), F.window("c.fetched", block).start.alias("block"))
     full = (F.col("c.kind") == "response") & (F.col("c.status") == 200) & F.col("c.digest").isNotNull()
     stored = F.struct(F.col("c.fetched").alias("fetched"), F.col("c.capture_id").alias("capture_id"), F.col("c.headers").alias("headers"), F.col("c.digest").alias("digest"))
     rows = rows.withColumn("full", F.when(full, stored))

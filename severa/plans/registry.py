@@ -41,4 +41,4 @@ def _load() -> None:
         import_module(f"severa.plans.{module}")
 
 
-MODULES = ["stats", "rows", "merging", "reports", "events", "outlook", "linkage"]
+MODULES = ["stats", "rows", "merging", "reports", "events", "outlook", "linkage", "sources"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -25,6 +25,17 @@ def first_seen(rows: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def _allow(rows: pd.DataFrame, times: list[float], limit: int, seconds: float) -> tuple[list[bool], list[float]]:
+    """Of rows in order, which are allowed after the allowed `times`; and the allowed times now."""
+    allowed = []
+    for t in rows["t"]:
+        times = [x for x in times if x > t - seconds]
+        allowed.append(len(times) < limit)
+        if allowed[-1]:
+            times.append(float(t))
+    return allowed, times
+
+
 def limiter(limit: int, seconds: float = 60.0):
     """A sliding-window limiter by key: a request is allowed if fewer than `limit` allowed ones lie in the last `seconds`;
     rejected ones don't extend the window. The state holds at most `limit` times."""
@@ -32,12 +43,7 @@ def limiter(limit: int, seconds: float = 60.0):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(batches).sort_values(["t", "event_id"])  # of one key and trigger
-        allowed = []
-        for t in rows["t"]:
-            times = [x for x in times if x > t - seconds]
-            allowed.append(len(times) < limit)
-            if allowed[-1]:
-                times.append(float(t))
+        allowed, times = _allow(rows, times, limit, seconds)
         state.update((times,))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
@@ -45,8 +51,20 @@ def limiter(limit: int, seconds: float = 60.0):
 
 
 def limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0) -> DataFrame:
-    """events (key, event_id, t seconds) as a stream or a table -> key, event_id, allowed."""
+    """events (key, event_id, t seconds) as a stream or a table -> key, event_id, allowed.
+
+    In a table the window empties wherever a key pauses for `seconds`, so each run between pauses is folded by itself."""
     rows = events.select(F.col(key).cast("long").alias("key"), "event_id", "t")
+    if not events.isStreaming:
+        by = Window.partitionBy("key").orderBy("t", "event_id")
+        paused = F.coalesce((F.col("t") - F.lag("t").over(by) >= seconds).cast("int"), F.lit(0))
+        runs = rows.withColumn("paused", paused).withColumn("run", F.sum("paused").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+        def fold(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values(["t", "event_id"])
+            return own.assign(allowed=_allow(own, [], limit, seconds)[0])[["key", "event_id", "allowed"]]
+
+        return runs.select("key", "run", "event_id", "t").groupBy("key", "run").applyInPandas(fold, "key long, event_id long, allowed boolean")
     return rows.groupBy("key").applyInPandasWithState(limiter(limit, seconds), "key long, event_id long, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 

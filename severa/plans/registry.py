@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def oracle_of(name: str) -> str:
+    """The oracle of a query that is already registered."""
+    return _ORACLES[name]
+
+
 def queries() -> dict[str, Query]:
     _load()
     return dict(_QUERIES)
@@ -41,4 +46,4 @@ def _load() -> None:
         import_module(f"severa.plans.{module}")
 
 
-MODULES = ["stats", "rows", "merging", "reports", "events", "outlook", "linkage", "sources"]
+MODULES = ["stats", "rows", "merging", "reports", "events", "outlook", "linkage", "sources", "more"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from severa.operators.ranking import row_numbers
+
 
 def merge_worksites(rows: DataFrame, ordinal: Column) -> DataFrame:
     """One row a notice_id: rows alike in address, count and effective date count once, the counts of the rest add up
@@ -59,19 +61,11 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, fill: list[str], update:
 
 
 def mint_ids(known: DataFrame, wanted: DataFrame, key: str, id_column: str) -> DataFrame:
-    """Ids for keys: the known ones, and for the others the numbers after the largest known id in the order of the key.
-
-    Missing keys are numbered within ranges of the key, offset by the counts of the ranges before, so that no task holds
-    them all."""
+    """Ids for keys: the known ones, and for the others the numbers after the largest known id in the order of the key."""
     missing = wanted.select(key).where(F.col(key).isNotNull()).distinct().join(known, key, "left_anti")
-    ranged = missing.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("before"))
     top = known.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("top"))
-    numbered = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(key))).join(F.broadcast(offsets), "part").crossJoin(F.broadcast(top))
-    minted = numbered.select(key, (F.col("top") + F.col("before") + F.col("n")).cast("long").alias(id_column))
-    return known.select(key, id_column).unionByName(minted)
+    numbered = row_numbers(missing, [F.col(key)], "n").crossJoin(F.broadcast(top))
+    return known.select(key, id_column).unionByName(numbered.select(key, (F.col("top") + F.col("n")).cast("long").alias(id_column)))
 
 
 def consolidate(companies: DataFrame, name_key: Column, totals: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from severa.operators import events as ev
 from severa.operators.filters import counted
+from severa.operators.ranking import equal_bins
 from severa.plans.adapter import N, notices, table
 from severa.plans.registry import query
 from severa.plans.reports import panel
@@ -97,8 +98,8 @@ def average_precision(spark, sf):
 
 @query("win17_calibration_bins", f"WITH {_SCORED}, b AS (SELECT *, ntile(10) OVER (ORDER BY s, doc_id) AS bin FROM s) SELECT bin, count(*) AS n, round(avg(s / 97), 8) AS predicted, round(avg(y), 8) AS observed FROM b GROUP BY 1")
 def calibration_bins(spark, sf):
-    """Ten bins of equal frequency. The global order is over scores and ids alone."""
-    b = _scored(spark, sf).withColumn("bin", F.ntile(10).over(Window.orderBy("s", "doc_id")))
+    """Ten bins of equal frequency."""
+    b = equal_bins(_scored(spark, sf), [F.col("s"), F.col("doc_id")], 10)
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg(F.col("s") / 97), 8).alias("predicted"), F.round(F.avg("y"), 8).alias("observed"))
 
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 import datetime
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from severa.functions import naics, names
-from severa.operators import dedup, linkage, models, outlook, timeline
+from severa.functions import names
+from severa.operators import linkage, models, timeline
 from severa.operators import events as ev
 from severa.operators.filters import active, counted
 from severa.operators.graph import connected_components
-from severa.plans.adapter import COMPANIES, NC, NL, N, companies, locations, notices, table, with_
+from severa.operators.ranking import equal_bins
+from severa.plans.adapter import COMPANIES, NC, N, companies, notices, table, with_
 from severa.plans.events import _DUR, event_dataset
 from severa.plans.registry import oracle_of, query
 from severa.plans.reports import sector_scores
@@ -213,7 +213,7 @@ def calibrated(spark, sf):
     rows = stage(_labelled(spark, sf), "labelled")
     model = models.fit(rows.where("year < 1998"))
     scored = models.calibrate(models.predict(model, rows.where("year = 1998")), models.predict(model, rows.where("year = 1999")))
-    bins = scored.withColumn("bin", F.ntile(10).over(Window.orderBy("score", "company", "day")))
+    bins = equal_bins(scored.select("score", "label", "company", "day"), [F.col("score"), F.col("company"), F.col("day")], 10)
     return bins.groupBy("bin").agg(F.count("*").alias("n"), F.avg("score").alias("predicted"), F.avg("label").alias("observed"))
 
 

@@ -7,10 +7,10 @@ import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from severa.functions import naics, text
+from severa.functions import text
 from severa.operators import filters, timeline
 from severa.operators.filters import counted, totals
-from severa.plans.adapter import NC, NCL, NL, RUNS, N, companies, locations, notices, runs, table, with_
+from severa.plans.adapter import NC, NL, RUNS, N, companies, locations, notices, runs, table, with_
 from severa.plans.registry import query
 
 AS_OF = datetime.date(2001, 7, 12)

@@ -26,7 +26,7 @@ def test_entry(spark):
 
 
 def test_native_plans_hold_no_python(spark):
-    python = {"fn05_name_similarity", "win12_coverage_mask", "ml29_clusters", "src05_html_tables", "str06_rate_limiter"}
+    python = {"prj21_search_names", "fn05_name_similarity", "win12_coverage_mask", "ml29_clusters", "src05_html_tables", "str06_rate_limiter"}
     for name in sorted(ORACLES.keys() - python):
         if name.startswith(("agg", "prj", "flt", "top", "jn", "win")):
             plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()

@@ -114,7 +114,8 @@ def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
         .withColumn("quota", F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - before))).where("quota > 0").select("source", "size", "bucket", "n", "quota"),
         "quotas",
     )
-    near = rows.alias("r").join(quota.alias("q"), same("r", "q", "size", "bucket"), "left").select("r.*", "q.n", "q.quota")
+    # Quotas grow with the documents and are far larger in memory than as files, so they are never broadcast.
+    near = rows.alias("r").join(quota.hint("merge").alias("q"), same("r", "q", "size", "bucket"), "left").select("r.*", "q.n", "q.quota")
     split = near.where("quota < n").withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", "id")))
     every = near.where("quota is null or quota >= n").withColumn("extra", F.when(F.col("quota").isNotNull(), 1).otherwise(0))
     drawn = every.select("doc", "source", "size", "extra").union(split.select("doc", "source", "size", F.when(F.col("rank") <= F.col("quota"), 1).otherwise(0)))

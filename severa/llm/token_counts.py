@@ -97,6 +97,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     # Each miss is fetched from one of its documents, whatever the number of its copies.
     found = texts.join(misses.withColumnRenamed("digest", "miss"), "pick").where("digest = miss").select("digest", "text")
     found.mapInArrow(_encode(tokenizer, name), CACHE).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == name).select("digest", "n_tokens")
+    # Staged, so that the join has two plain exchanges and Spark can split the digest of a large group of copies.
+    counts = stage(read_cache(spark, cache).where(F.col("tokenizer") == name).select("digest", "n_tokens"), "token-counts")
     out = rows.join(counts, "digest", "left")
     return out.select("doc", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -92,7 +92,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = stage(docs.select(F.struct(*rest).alias("doc"), F.xxhash64(F.col("doc_id").cast("string")).alias("pick"), digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache).where(F.col("tokenizer") == name).select("digest")
-    misses = rows.join(known, "digest", "left_anti").groupBy("digest").agg(F.min("pick").alias("pick"))
+    # Grouped first: the copies of a text are combined before anything is shuffled.
+    misses = rows.groupBy("digest").agg(F.min("pick").alias("pick")).join(known, "digest", "left_anti")
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("pick"), digest, text.alias("text"))
     # Each miss is fetched from one of its documents, whatever the number of its copies.
     found = texts.join(misses.withColumnRenamed("digest", "miss"), "pick").where("digest = miss").select("digest", "text")

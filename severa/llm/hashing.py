@@ -7,7 +7,6 @@ All arithmetic is modulo 2**64. With c[i] the sum of the first i terms t[j] * B*
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,24 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK_BYTES = 2 << 20
 
 
-@lru_cache(maxsize=2)
+class Kept(dict):
+    """Values that a process works out once. A pickled copy, as tasks get it, starts empty."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+_POWERS = Kept()
+
+
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, BASE, U64), np.full(n, pow(BASE, -1, 1 << 64), U64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if bits not in _POWERS:
+        n = 1 << bits
+        up, down = np.full(n, BASE, U64), np.full(n, pow(BASE, -1, 1 << 64), U64)
+        up[0] = down[0] = 1
+        _POWERS.clear()  # one size at a time
+        _POWERS[bits] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[bits]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,20 +20,25 @@ from pyspark.sql import functions as F
 from severa.staging import stage
 
 from .common import text_of
+from .hashing import Kept
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 #: Words remembered in a task, and new ones encoded at once.
 REMEMBERED, AT_ONCE = 300_000, 20_000
 
 
-@lru_cache(maxsize=1)
+_TOKENIZERS = Kept()
+
+
 def _tokenizer(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return _TOKENIZERS[path]
 
 
 def version(path: str) -> str:

@@ -81,13 +81,14 @@ def _pairs(spark, sf):
     return lk.block_pairs(c, "company_id", "key")
 
 
+#: 1 for one unique id, 0 for two different ones, of the pairs that carry it.
+_label = F.when(F.col("x.unique_id") == F.col("y.unique_id"), 1).when(F.col("x.unique_id").isNotNull() & F.col("y.unique_id").isNotNull(), 0)
+
+
 @query("ml27_weak_labels", f"{with_(COMPANIES)} SELECT a.company_id AS a, b.company_id AS b, CASE WHEN a.unique_id = b.unique_id THEN 1 WHEN a.unique_id IS NOT NULL AND b.unique_id IS NOT NULL THEN 0 END AS label FROM companies a JOIN companies b ON a.parent_group_key = b.parent_group_key AND a.company_id < b.company_id")
 def weak_labels(spark, sf):
     c = companies(spark, sf)
-    pairs = lk.block_pairs(c, "company_id", "parent_group_key", 1000)
-    side = lambda n: c.select(F.col("company_id").alias(n), F.col("unique_id").alias(f"u{n}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    return rows.select("a", "b", F.when(F.col("ua") == F.col("ub"), 1).when(F.col("ua").isNotNull() & F.col("ub").isNotNull(), 0).alias("label"))
+    return lk.key_pairs(c, "company_id", "parent_group_key", "unique_id").select("a", "b", _label.alias("label"))
 
 
 @query("ml26_pair_features", f"{NC}, st AS (SELECT company_id, list_distinct(list(state)) AS states, count(*) AS n FROM notices WHERE company_id IS NOT NULL GROUP BY 1) SELECT a.company_id AS a, b.company_id AS b, round(len(list_intersect(x.states, y.states)) / (len(x.states) + len(y.states) - len(list_intersect(x.states, y.states))), 8) AS state_jaccard, round(ln(1 + least(x.n, y.n)), 8) AS least_log, CAST(coalesce(a.website = b.website, false) AS INT) AS same_site FROM companies a JOIN companies b ON a.unique_id = b.unique_id AND a.company_id < b.company_id JOIN st x ON x.company_id = a.company_id JOIN st y ON y.company_id = b.company_id")
@@ -102,11 +103,9 @@ def pair_features(spark, sf):
 
 @query("ml29_clusters")
 def clusters(spark, sf):
-    """Average linkage over pairs scored by their names' similarity."""
-    c = companies(spark, sf).select("company_id", "name", "parent_group_key")
-    pairs = lk.block_pairs(c, "company_id", "parent_group_key", 1000)
-    side = lambda x: c.select(F.col("company_id").alias(x), F.col("name").alias(f"n{x}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", lk.name_similarity("na", "nb").alias("score"))
+    """Average linkage over pairs scored by their names' similarity; one unique id is a must-link, two are a cannot-link."""
+    pairs = lk.key_pairs(companies(spark, sf), "company_id", "parent_group_key", "name", "unique_id")
+    scored = pairs.select("a", "b", lk.name_similarity("x.name", "y.name").alias("score"), F.when(_label == 1, 1).when(_label == 0, -1).alias("link"))
     return lk.cluster_pairs(scored, 0.97, 0.9)
 
 
@@ -123,10 +122,9 @@ def pair_agreement(spark, sf):
 
 @query("ml30_merge_suggestions", f"{with_(COMPANIES)}, p AS (SELECT a.parent_group_key AS g, least(coalesce(a.canonical_company_id, a.company_id), coalesce(b.canonical_company_id, b.company_id)) AS root, greatest(coalesce(a.canonical_company_id, a.company_id), coalesce(b.canonical_company_id, b.company_id)) AS other, (a.company_id + b.company_id) % 100 / 100.0::DOUBLE AS s FROM companies a JOIN companies b ON a.parent_group_key = b.parent_group_key AND a.company_id < b.company_id) SELECT root, other, count(*) AS pairs, round(avg(s), 8) AS score FROM p WHERE root <> other GROUP BY ALL HAVING avg(s) >= 0.8")
 def merge_suggestions(spark, sf):
-    c = companies(spark, sf)
-    pairs = lk.block_pairs(c, "company_id", "parent_group_key", 1000)
-    side = lambda x: c.select(F.col("company_id").alias(x), F.coalesce("canonical_company_id", "company_id").alias(f"r{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("ra", "rb").alias("root"), F.greatest("ra", "rb").alias("other"), ((F.col("a") + F.col("b")) % 100 / 100).alias("s")).where("root <> other")
+    c = companies(spark, sf).withColumn("head", F.coalesce("canonical_company_id", "company_id"))
+    pairs = lk.key_pairs(c, "company_id", "parent_group_key", "head")
+    rows = pairs.select(F.least("x.head", "y.head").alias("root"), F.greatest("x.head", "y.head").alias("other"), ((F.col("a") + F.col("b")) % 100 / 100).alias("s")).where("root <> other")
     return rows.groupBy("root", "other").agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 8).alias("score"), F.avg("s").alias("raw")).where("raw >= 0.8").drop("raw")
 
 

@@ -2,7 +2,8 @@
 
 A source's target is first met with whole passes over its documents. What remains is a budget smaller than one pass,
 fitted on counts of documents by exact length: the same fraction of every length, then single documents while they fit,
-then a bounded-knapsack dynamic programme for the last few thousand words. Counts, not documents, go through it; the
+then a bounded-knapsack dynamic programme over a grid of sums; if that leaves words open, it runs again over more of the
+budget, then with documents of each length given back. Counts, not documents, go through it; the
 documents of a length are then chosen in the order of a seeded hash, by hash bucket first, so that no task ranks all
 documents of a frequent length.
 """
@@ -20,8 +21,10 @@ from .common import SPACE_WORD, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-#: The dynamic programme's largest budget in words.
+#: Words left to the first dynamic programme, which is enough for a source with many short documents.
 LAST_WORDS = 1 << 14
+#: Sums that the dynamic programme keeps.
+GRID = 1 << 20
 #: Hash buckets of the documents of one source and length.
 BUCKETS = 1024
 
@@ -45,40 +48,81 @@ def targets(sources: DataFrame) -> DataFrame:
     return rows.withColumn("level", F.coalesce(level, F.lit(0.0))).select("source", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _reach(lengths: np.ndarray, free: np.ndarray, rest: int) -> tuple[np.ndarray, int]:
+    """At most free[i] documents of lengths[i] words whose words come near below `rest`, and what they leave of it.
+
+    Sums are kept one to a cell of a grid over 0 to `rest`, in units of the lengths' greatest common divisor: with a cell
+    for every sum the result is the best there is; with wider cells it is near, as the best sum is kept beside the grid."""
+    more, use = np.zeros_like(free), np.flatnonzero((free > 0) & (lengths <= rest))
+    if not len(use):
+        return more, rest
+    unit = int(np.gcd.reduce(lengths[use]))
+    most = rest // unit
+    width = most // GRID + 1
+    cells = np.zeros(most // width + 1, bool)
+    cells[0] = True
+    # node: its sum, the node before it, and the length and copies that were added
+    sums, before, item, copies = (np.zeros(len(cells), np.int64) for _ in range(4))
+    n, best = 1, (0, 0, 0, 0)
+    for i in use:
+        length = int(lengths[i]) // unit
+        left, piece = min(int(free[i]), most // length), 1
+        while left > 0 and best[0] < most:
+            piece = min(piece, left)
+            new = sums[:n] + piece * length
+            fits = np.flatnonzero(new <= most)
+            new = new[fits]
+            if len(new) and new.max() > best[0]:
+                best = (int(new.max()), int(fits[new.argmax()]), int(i), piece)
+            cell = new // width
+            fresh = np.flatnonzero(~cells[cell])
+            kept, first = np.unique(cell[fresh], return_index=True)
+            fresh, cells[kept] = fresh[first], True
+            to = slice(n, n + len(fresh))
+            sums[to], before[to], item[to], copies[to] = new[fresh], fits[fresh], i, piece
+            n, left, piece = n + len(fresh), left - piece, piece * 2
+    total, at, i, piece = best
+    more[i] += piece
+    while at > 0:
+        more[item[at]] += copies[at]
+        at = before[at]
+    return more, rest - total * unit
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of counts[i] documents of lengths[i] words to take so that their words come as near below the budget as
-    the programme finds. Lengths are distinct, ascending and positive."""
+    the programme finds: the nearest possible if the budget is at most GRID units. Lengths are distinct, ascending and
+    positive."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
-    rest = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest <= LAST_WORDS:
+    share = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
+    best, gap, back, room = np.zeros_like(counts), budget, 0, LAST_WORDS
+    while gap > 0:
+        take = np.maximum(share - back, 0)
+        rest = budget - int((lengths * take).sum())
+        for i in np.argsort(-lengths, kind="stable"):
+            if rest <= room or back:
+                break
+            extra = min(int(counts[i] - take[i]), max(0, rest - room // 2) // int(lengths[i]))
+            take[i] += extra
+            rest -= extra * int(lengths[i])
+        # What wide cells leave open is filled by finer ones.
+        while rest > 0:
+            more, left = _reach(lengths, counts - take, rest)
+            take, rest, moved = take + more, left, left < rest
+            if not moved:
+                break
+        if rest < gap:
+            best, gap = take, rest
+        if room < GRID:
+            room = GRID
+            continue
+        if not (share - back > 0).any():
             break
-        more = min(int(counts[i] - take[i]), (rest - LAST_WORDS // 2) // int(lengths[i])) if lengths[i] <= rest - LAST_WORDS // 2 else 0
-        take[i] += more
-        rest -= more * int(lengths[i])
-    rest_cap = min(rest, LAST_WORDS)
-    # reached[s]: the (length, copies) that first reached the sum s
-    by = np.full((rest_cap + 1, 2), -1, np.int64)
-    known, mask = 1, (1 << (rest_cap + 1)) - 1
-    for i in np.flatnonzero((lengths <= rest_cap) & (take < counts)):
-        free, piece = min(int(counts[i] - take[i]), rest_cap // int(lengths[i])), 1
-        while free > 0 and not known >> rest_cap & 1:
-            piece = min(piece, free)
-            new = (known << (piece * int(lengths[i]))) & mask & ~known
-            if new:
-                bits = np.unpackbits(np.frombuffer(new.to_bytes(rest_cap // 8 + 1, "little"), np.uint8), bitorder="little")
-                by[np.flatnonzero(bits)] = (i, piece)
-                known |= new
-            free, piece = free - piece, piece * 2
-    at = known.bit_length() - 1
-    while at > 0:
-        i, piece = by[at]
-        take[i] += piece
-        at -= int(piece * lengths[i])
-    return take
+        # No exact fit beside the same fraction of every length: documents of each are given back, ever more.
+        back = back * 2 or 1
+    return best
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:

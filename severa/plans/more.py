@@ -236,6 +236,14 @@ def blocking_union(spark, sf):
     return linkage.block_pairs(keys, "company_id", "key")
 
 
+@query("ml25_blocking_families")
+def blocking_families(spark, sf):
+    """The three families over all companies: trigram neighbours, first word in a state, rare words."""
+    states = notices(spark, sf).where("company_id is not null").groupBy("company_id").agg(F.collect_set("state").alias("states"))
+    rows = companies(spark, sf).join(states, "company_id", "left")
+    return linkage.candidate_pairs(rows.select(F.col("company_id").alias("node"), "name", F.coalesce("states", F.array().cast("array<string>")).alias("states")))
+
+
 @query("ml31_suggestion_write", f"{with_(COMPANIES)}, old AS (SELECT company_id AS id, CASE WHEN company_id % 3 = 0 THEN 'accepted' ELSE 'open' END AS status, 0.5::DOUBLE AS score FROM companies WHERE company_id % 4 < 2), new AS (SELECT company_id AS id, 0.9::DOUBLE AS score FROM companies WHERE company_id % 4 IN (1, 2)) SELECT id, coalesce(CASE WHEN old.status <> 'open' THEN old.status END, 'open') AS status, CASE WHEN old.status <> 'open' THEN old.score ELSE new.score END AS score FROM old FULL JOIN new USING (id) WHERE old.status <> 'open' OR new.id IS NOT NULL")
 def suggestion_write(spark, sf):
     """Decided suggestions stay as they are, open ones are replaced by the new set."""

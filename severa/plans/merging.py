@@ -11,7 +11,7 @@ from severa.operators import dedup, filters
 from severa.operators.filters import counted
 from severa.operators.graph import connected_components
 from severa.plans.adapter import NC, NCL, NL, RUNS, COMPANIES, N, companies, locations, notices, runs, table, with_
-from severa.plans.registry import query
+from severa.plans.registry import oracle_of, query
 from severa.staging import stage
 
 COUNTED = "NOT is_superseded AND closure_category IS DISTINCT FROM 'Non-WARN'"
@@ -223,13 +223,26 @@ def nested_children(spark, sf):
 
 @query("jn42_subscription_matches", f"{N}, s AS (SELECT s_suppkey AS sub_id, CASE WHEN s_suppkey % 3 <> 0 THEN concat('S', lpad(CAST(s_nationkey AS VARCHAR), 2, '0')) END AS w_state, CASE WHEN s_suppkey % 2 = 0 THEN 'Layoff' END AS w_cat, CASE WHEN s_suppkey % 5 = 0 THEN 40 END AS w_min FROM supplier WHERE s_suppkey <= 40) SELECT sub_id, count(*) AS matches, max(notice_date) AS latest FROM s JOIN notices n ON (w_state IS NULL OR state = w_state) AND (w_cat IS NULL OR closure_category = w_cat) AND (w_min IS NULL OR layoff_count >= w_min) WHERE NOT is_superseded AND scraped_at >= TIMESTAMP '2001-01-01' GROUP BY 1")
 def subscription_matches(spark, sf):
-    """Each subscription is a row of filters in which null matches all; notices are first counted by what filters see."""
+    return _matches(spark, sf, table(spark, sf, "supplier").where("s_suppkey <= 40"))
+
+
+@query("jn42_all_subscriptions", oracle_of("jn42_subscription_matches").replace(" WHERE s_suppkey <= 40", ""))
+def all_subscription_matches(spark, sf):
+    return _matches(spark, sf, table(spark, sf, "supplier"))
+
+
+def _matches(spark, sf, suppliers):
+    """Each subscription is a row of filters in which null matches all; notices are first counted by what filters see and
+    meet each distinct row of filters once."""
     k = F.col("s_suppkey")
-    subs = table(spark, sf, "supplier").where("s_suppkey <= 40").select(k.alias("sub_id"), F.when(k % 3 != 0, F.concat(F.lit("S"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))).alias("w_state"), F.when(k % 2 == 0, "Layoff").alias("w_cat"), F.when(k % 5 == 0, 40).alias("w_min"))
+    subs = suppliers.select(k.alias("sub_id"), F.when(k % 3 != 0, F.concat(F.lit("S"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))).alias("w_state"), F.when(k % 2 == 0, "Layoff").alias("w_cat"), F.when(k % 5 == 0, 40).alias("w_min"))
     new = filters.active(notices(spark, sf)).where(F.col("scraped_at") >= F.lit("2001-01-01").cast("timestamp"))
     seen = new.groupBy("state", "closure_category", "layoff_count").agg(F.count("*").alias("n"), F.max("notice_date").alias("latest"))
-    met = seen.join(F.broadcast(subs), F.expr("(w_state is null or state = w_state) and (w_cat is null or closure_category = w_cat) and (w_min is null or layoff_count >= w_min)"))
-    return met.groupBy("sub_id").agg(F.sum("n").alias("matches"), F.max("latest").alias("latest"))
+    asked = subs.select("w_state", "w_cat", "w_min").distinct()
+    met = seen.join(F.broadcast(asked), F.expr("(w_state is null or state = w_state) and (w_cat is null or closure_category = w_cat) and (w_min is null or layoff_count >= w_min)"))
+    met = met.groupBy("w_state", "w_cat", "w_min").agg(F.sum("n").alias("matches"), F.max("latest").alias("latest")).alias("m")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("w_state", "w_cat", "w_min")]
+    return subs.alias("s").join(met, same).select("sub_id", "matches", "m.latest")
 
 
 @query("agg30_worksite_merge", "WITH w AS (SELECT l_orderkey AS notice_id, l_partkey % 3 AS address, CASE WHEN l_quantity > 25 THEN CAST(l_quantity AS BIGINT) END AS layoff_count, l_linenumber % 2 AS effective_date, min(struct_pack(o := l_linenumber, a := l_suppkey)) AS f FROM lineitem GROUP BY ALL) SELECT notice_id, min(f).a AS employer, CAST(sum(layoff_count) AS BIGINT) AS layoff_count, count(*) AS worksites FROM w GROUP BY 1")
@@ -278,6 +291,12 @@ def components(spark, sf):
     return connected_components(edges)
 
 
+@query("fn31_all_components")
+def all_components(spark, sf):
+    """Suppliers and parts of all lines; the recursive SQL is too slow for so many edges."""
+    return connected_components(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000_000_000).alias("b")))
+
+
 @query("fn32_merge_roots", "WITH RECURSIVE l AS (SELECT CAST(c_custkey AS BIGINT) AS node, CAST(c_custkey - c_custkey % 7 - 7 * (c_custkey % 3) AS BIGINT) AS t FROM customer WHERE c_custkey > 20 AND c_custkey - c_custkey % 7 - 7 * (c_custkey % 3) <> c_custkey), r AS (SELECT node, t FROM l UNION SELECT r.node, l.t FROM r JOIN l ON l.node = r.t) SELECT node, t AS root FROM r WHERE t NOT IN (SELECT node FROM l)")
 def merge_roots(spark, sf):
     k = F.col("c_custkey").cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from severa.staging import stage
+from severa.staging import drop_staged, stage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,12 +20,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if mark == seen:
+        if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         seen = mark
         both = now.union(now.select("b", "a"))
         least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components")
         large = stage(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "components")
-        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "components")
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = stage(small.distinct(), "components")
+        minima = stage(large.groupBy("a").agg(F.min("b").alias("m")), "components")
+        small = large.join(minima, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        new = stage(small.distinct(), "components")
+        drop_staged(now, least, large, minima)
+        now = new

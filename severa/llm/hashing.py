@@ -16,7 +16,7 @@ U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Texts of a batch are taken together up to so many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class Kept(dict):
@@ -41,7 +41,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i for i below n at least."""
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(max(20, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

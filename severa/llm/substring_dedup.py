@@ -139,7 +139,7 @@ def _gather(table: pa.Table) -> pa.Table:
     k, o, p = k[order], o[order], p[order]
     new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])]))
     starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(k)), pa.int32()), pa.array(p, pa.int32()))
-    return pa.table({"k": pa.array(k[new], pa.int64()), "occ": pa.array(o[new], pa.int32()), "starts": starts})
+    return pa.table({"k": pa.array(k[new], pa.int64()), "occ": pa.array(o[new], pa.int64()), "starts": starts})
 
 
 def _cut(width: int):
@@ -188,7 +188,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
     marks = (
         rows.select("k", "occ", "text").mapInArrow(_deal(width, parts), f"part int, hashes binary, {_PLACES}")
         .groupBy("part").applyInArrow(_repeats(parts), f"docs int, {_PLACES}")
-        .groupBy("docs").applyInArrow(_gather, "k long, occ int, starts array<int>")
+        .groupBy("docs").applyInArrow(_gather, "k long, occ long, starts array<int>")
     )
     joined = rows.join(marks, ["k", "occ"], "left").select("text", "starts", "doc")
     kind = joined.schema["doc"].dataType.simpleString()

@@ -3,14 +3,17 @@
 The cache is a Parquet table (digest, tokenizer, n_tokens). Documents join it by the digest of their content and the
 tokenizer's version; only distinct contents that it lacks are encoded, and their counts are appended to it. Content is
 normalised to UTF-8 with null as empty, nothing more: the tokenizer's own normaliser is part of its version, a digest of
-its file. Inside a task, counts of whole white-space words are remembered, since the tokenizer's pre-tokeniser never
-joins text across white space; a word is encoded when it is first met.
+its file. Where the tokenizer never joins text across white space (`splits_at_space` tries it), counts of whole
+white-space words are remembered inside a task, and a word is encoded when it is first met; other tokenizers get whole
+texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from itertools import product
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from severa.staging import stage
 
-from .common import text_of
+from .common import small_batches, text_of
 from .hashing import Kept
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -46,7 +49,22 @@ def version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()[:32]
 
 
-def _encode(path: str, name: str):
+def splits_at_space(path: str) -> bool:
+    """Whether the tokenizer's pieces of two texts with one of the six white-space characters between them are those of
+    each text, for letters, digits, marks, symbols and other scripts on either side; and no added token holds a space."""
+    tokenizer = _tokenizer(path)
+    if tokenizer.pre_tokenizer is None or any(t["content"].split() != [t["content"]] for t in json.loads(Path(path).read_text()).get("added_tokens", [])):
+        return False
+
+    def pieces(text: str) -> list[str]:
+        text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    sides = ("a", "Bc", "7", "!", "'s", "_", "é", "e\u0301", "\u0301", "語", "я", "😀")
+    return all(pieces(a + space + b) == pieces(a) + pieces(b) for a, b in product(sides, sides) for space in " \t\n\x0b\x0c\r")
+
+
+def _encode(path: str, name: str, by_words: bool):
     """Rows (digest, text) -> rows of the cache."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,10 +77,11 @@ def _encode(path: str, name: str):
                 words: list[list[bytes]] = []
                 fresh: dict[bytes, None] = {}
                 while at < size and len(fresh) < AT_ONCE:
-                    words.append(batch.column(1)[at].as_py().encode().split())
+                    text = batch.column(1)[at].as_py().encode()
+                    words.append(text.split() if by_words else [text])
                     fresh.update((w, None) for w in words[-1] if w not in known)
                     at += 1
-                if len(known) > REMEMBERED:
+                if len(known) > REMEMBERED or not by_words:
                     known.clear()
                     fresh = dict.fromkeys(w for ws in words for w in ws)
                 keys = list(fresh)
@@ -86,23 +105,21 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048) -> DataFrame:
     """documents (doc_id, text, any others) -> doc (a struct of the columns but text), n_bytes, n_tokens, over_limit.
 
-    tokenizer is the path of a tokenizers file whose pre-tokeniser splits at white space, the same on every executor;
-    cache the path of the cache, in a folder that all executors share. Null and empty texts have no tokens. Repeated
-    texts are encoded once and repeated rows each get their result; an empty table gives no rows and adds nothing to the
-    cache. Other columns ride along in `doc`."""
+    tokenizer is the path of a tokenizers file, the same on every executor; cache the path of the cache, in a folder that
+    all executors share. Null and empty texts have no tokens. A text is encoded and appended once, however many rows hold
+    it and whatever their doc_ids, and repeated rows each get their result; an empty table gives no rows and adds nothing
+    to the cache. Other columns ride along in `doc`."""
     spark, name = docs.sparkSession, version(tokenizer)
+    small_batches(spark)
     text = text_of()
     digest = F.unhex(F.sha2(text, 256)).alias("digest")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = stage(docs.select(F.struct(*rest).alias("doc"), F.xxhash64(F.col("doc_id").cast("string")).alias("pick"), digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache).where(F.col("tokenizer") == name).select("digest")
-    # Grouped first: the copies of a text are combined before anything is shuffled.
-    misses = rows.groupBy("digest").agg(F.min("pick").alias("pick")).join(known, "digest", "left_anti")
-    texts = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("pick"), digest, text.alias("text"))
-    # Each miss is fetched from one of its documents, whatever the number of its copies.
-    found = texts.join(misses.withColumnRenamed("digest", "miss"), "pick").where("digest = miss").select("digest", "text")
-    found.mapInArrow(_encode(tokenizer, name), CACHE).write.mode("append").parquet(cache)
+    # Each task hands on one row of a text, whatever the number of its copies, and the join finds them dealt out already.
+    misses = docs.select(digest, text.alias("text")).groupBy("digest").agg(F.any_value("text").alias("text")).join(known, "digest", "left_anti")
+    misses.mapInArrow(_encode(tokenizer, name, splits_at_space(tokenizer)), CACHE).write.mode("append").parquet(cache)
     # Staged, so that the join has two plain exchanges and Spark can split the digest of a large group of copies.
     counts = stage(read_cache(spark, cache).where(F.col("tokenizer") == name).select("digest", "n_tokens"), "token-counts")
+    rows = docs.select(F.struct(*rest).alias("doc"), digest, F.octet_length(text).cast("long").alias("n_bytes"))
     out = rows.join(counts, "digest", "left")
     return out.select("doc", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from severa.staging import stage
 
-from .common import text_of
+from .common import SPACE_WORD, text_of
 
 BITS = 6
 #: Groups of fewer documents take the next wider group's fences.
@@ -35,8 +35,7 @@ def features(docs: DataFrame) -> DataFrame:
     """A row for each document: doc (struct of the other columns), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, lang, source."""
     text = text_of()
-    trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    words = F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))) > 0)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     base = docs.select(F.struct(*rest).alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"), words.alias("words"), lines.alias("lines"))

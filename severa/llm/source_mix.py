@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from severa.staging import stage
 
-from .common import SPACE_WORD, text_of
+from .common import SPACE_WORD, has_repeats, keyed, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -166,3 +166,15 @@ def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
     copies: Column = F.when(F.col("d.size") > 0, F.col("s.passes") + F.col("d.extra")).otherwise(0)
     out = drawn.alias("d").join(sources.alias("s"), same("d", "s"))
     return out.select("d.doc", "d.size", "s.source_size", "s.target", copies.cast("int").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def draw_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target, copies and taken beside their own columns. Keys go
+    through the mix and meet the texts once; only where rows repeat in doc_id and text do the texts go along."""
+    added = ["size", "source_size", "target", "copies", "taken"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if has_repeats(docs):
+        carried = mix_sources(docs.select("doc_id", "source", "text", whole), seed).where("copies > 0")
+        return carried.select("doc.doc.*", *added)
+    keys = mix_sources(keyed(docs, F.col("doc_id"), F.col("source"), F.col("text")), seed).where("copies > 0").select("doc.k", "doc.occ", *added)
+    return keyed(docs, whole).join(keys, ["k", "occ"]).select("doc.*", *added)

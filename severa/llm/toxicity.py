@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from severa.staging import stage
 
 from . import hashing
-from .common import text_of
+from .common import small_batches, text_of
 
 U64 = np.uint64
 BITS = 20
@@ -80,27 +80,37 @@ def _learn(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: flo
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, bits: int = BITS, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_bytes: int = 100 << 20, bits: int = BITS, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> dict[int, float]:
     """documents (doc_id, text) and labels (doc_id, toxic) -> the non-zero weights by feature.
 
-    Learns from rows whose crc32(doc_id as text) mod 5 is not 0, about `most` labelled documents at the most: of more, a
-    share by a hash of the doc_id. A doc_id labelled more than once counts as toxic if any label says so; null labels and
-    null doc_ids are left out. Without rows the model is empty and every score is a half."""
+    Learns from rows whose crc32(doc_id as text) mod 5 is not 0, about `most` labelled rows and `most_bytes` of text at the
+    most, which is what one task holds: of more, a share by a hash of doc_id and text. A doc_id labelled more than once
+    counts as toxic if any label says so; null labels and null doc_ids are left out; rows that repeat in doc_id and text
+    are learnt from once. Without rows the model is empty and every score is a half."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    marked = stage(marked.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).withColumn("draw", F.xxhash64(F.lit(5), F.col("doc_id").cast("string"))), "labels")
-    there = marked.count()
-    share = min(1.0, most / max(1, there))
-    sample = marked.where(F.pmod("draw", F.lit(1 << 20)) < round(share * (1 << 20)))
-    # The sample's ids are bounded by `most`, some 30 bytes each.
-    rows = docs.select("doc_id", plain_words(text_of()).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y", "draw")
-    learnt = rows.groupBy().applyInPandas(_learn(bits, epochs, alpha, beta, l1, l2), "feature long, weight double")
+    marked = stage(marked.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "labels")
+    # First a share of the labelled ids, so that they can go to every task: of at most 4 * most, some 30 bytes each.
+    some = _share(4 * most / max(1, marked.count()))
+    chosen = F.broadcast(marked.where(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string")), F.lit(1 << 20)) < some))
+    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").withColumn("draw", F.xxhash64(F.lit(6), F.col("doc_id").cast("string"), "text"))
+    held = rows.select("draw", F.octet_length("text").alias("size")).distinct().agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    share = _share(min(most / max(1, held["n"]), most_bytes / max(1, held["bytes"] or 0)))
+    sample = rows.where(F.pmod("draw", F.lit(1 << 20)) < share).select(plain_words(F.col("text")).alias("text"), "y", "draw")
+    once = sample.groupBy("draw").agg(F.any_value("text").alias("text"), F.any_value("y").alias("y"))
+    learnt = once.groupBy().applyInPandas(_learn(bits, epochs, alpha, beta, l1, l2), "feature long, weight double")
     return {f: w for f, w in learnt.collect()}
 
 
+def _share(part: float) -> int:
+    """How many of 2**20 hash buckets make this part of the rows."""
+    return round(min(1.0, part) * (1 << 20))
+
+
 def score(docs: DataFrame, weights: dict[int, float], bits: int = BITS) -> DataFrame:
     """documents (doc_id, text, any others) -> doc (a struct of all its columns) and score, from 0 to 1.
 
     A null or empty text scores as the bias alone. Rows keep their number; other columns ride along in `doc`."""
+    small_batches(docs.sparkSession)
     table = np.zeros((1 << bits) + 1)
     if weights:
         table[list(weights)] = list(weights.values())

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: NAICS 2022 sectors, id, name and two-digit prefixes.
+#: NAICS 2022 sectors, id, official title and two-digit prefixes.
 SECTORS = [
-    ("11", "Agriculture, Forestry, Fishing & Hunting", ("11",)),
-    ("21", "Mining, Quarrying, Oil & Gas Extraction", ("21",)),
+    ("11", "Agriculture, Forestry, Fishing and Hunting", ("11",)),
+    ("21", "Mining, Quarrying, and Oil and Gas Extraction", ("21",)),
     ("22", "Utilities", ("22",)),
     ("23", "Construction", ("23",)),
     ("31-33", "Manufacturing", ("31", "32", "33")),
     ("42", "Wholesale Trade", ("42",)),
     ("44-45", "Retail Trade", ("44", "45")),
-    ("48-49", "Transportation & Warehousing", ("48", "49")),
+    ("48-49", "Transportation and Warehousing", ("48", "49")),
     ("51", "Information", ("51",)),
-    ("52", "Finance & Insurance", ("52",)),
-    ("53", "Real Estate, Rental & Leasing", ("53",)),
-    ("54", "Professional, Scientific & Technical Services", ("54",)),
-    ("55", "Management of Companies & Enterprises", ("55",)),
-    ("56", "Administrative, Support & Waste Management", ("56",)),
+    ("52", "Finance and Insurance", ("52",)),
+    ("53", "Real Estate and Rental and Leasing", ("53",)),
+    ("54", "Professional, Scientific, and Technical Services", ("54",)),
+    ("55", "Management of Companies and Enterprises", ("55",)),
+    ("56", "Administrative and Support and Waste Management and Remediation Services", ("56",)),
     ("61", "Educational Services", ("61",)),
-    ("62", "Health Care & Social Assistance", ("62",)),
-    ("71", "Arts, Entertainment & Recreation", ("71",)),
-    ("72", "Accommodation & Food Services", ("72",)),
+    ("62", "Health Care and Social Assistance", ("62",)),
+    ("71", "Arts, Entertainment, and Recreation", ("71",)),
+    ("72", "Accommodation and Food Services", ("72",)),
     ("81", "Other Services (except Public Administration)", ("81",)),
     ("92", "Public Administration", ("92",)),
 ]

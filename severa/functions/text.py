@@ -79,10 +79,11 @@ def county_name(county: Column) -> Column:
 
 
 def company_key(name: Column) -> Column:
-    """Comparison key of a company: no store numbers, punctuation, leading 'the' or trailing legal forms."""
+    """Comparison key of a company: no site number in brackets at the front or after a number sign, no punctuation, no
+    leading 'the', no trailing legal forms. Where nothing is left, the name with only its punctuation gone."""
     squeeze = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^\w\s]", " "), r"\s+", " "))
-    cleaned = F.regexp_replace(F.regexp_replace(name, r"^\s*\(\s*\d+\s*\)\s*", ""), r"#\s*\d+", " ")
-    s = F.regexp_replace(squeeze(cleaned), r"^the (?=.)", "")
+    sites = r"^\W*\d+\W*\)|#\W?\d+"
+    s = F.regexp_replace(squeeze(F.regexp_replace(name, sites, " ")), r"^the (?=.)", "")
     s = F.trim(F.regexp_replace(s, r"(^|\s)(" + "|".join(LEGAL) + r")(\s+(" + "|".join(LEGAL) + r"))*$", ""))
     return F.coalesce(F.when(s != "", s).otherwise(squeeze(name)), F.lit(""))
 

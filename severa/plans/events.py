@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from severa.operators import events as ev
 from severa.operators.filters import counted
 from severa.operators.ranking import equal_bins
 from severa.plans.adapter import N, notices, table
-from severa.plans.registry import query
+from severa.plans.registry import oracle_of, query
 from severa.plans.reports import panel
 
 AS_OF = datetime.date(2001, 7, 12)
@@ -71,15 +70,18 @@ def life_table(spark, sf):
     return h.select("bucket", F.round(ev.cumulative_product(F.transform("hs", lambda x: x["h"])), 8).alias("repeat_by_360"))
 
 
-@query("win12_coverage_mask")
+@query("win12_coverage_mask", f"""WITH p AS ({oracle_of("agg44_panel")}),
+  l AS (SELECT *, median(notices) FILTER (seen) OVER (PARTITION BY state) AS lv, row_number() OVER (PARTITION BY state ORDER BY month DESC) AS back FROM p),
+  c AS (SELECT *, CASE WHEN back <= 6 AND lv > 0 THEN ln(greatest(list_sum(list_transform(range(0, notices + 1), lambda i: exp(i * ln(lv) - lv - lgamma(i + 1)))), 1e-300)) END AS lc FROM l),
+  t AS (SELECT *, sum(lc) OVER w AS s, bool_and(back <= 6 AND lv > 0 AND notices < lv) OVER w AS low FROM c WINDOW w AS (PARTITION BY state ORDER BY month DESC ROWS UNBOUNDED PRECEDING)),
+  k AS (SELECT *, coalesce(max(CASE WHEN low AND s < ln(0.001) THEN back END) OVER (PARTITION BY state), 0) AS cut FROM t),
+  z AS (SELECT *, seen AND back > cut AND notices = 0 AS zero FROM k),
+  i AS (SELECT *, back - row_number() OVER (PARTITION BY state, zero ORDER BY month DESC) AS isl FROM z),
+  n AS (SELECT *, count(*) OVER (PARTITION BY state, zero, isl) AS len FROM i)
+  SELECT state, month, notices, seen AND back > cut AND NOT (zero AND lv > 0 AND -lv * len < ln(0.001)) AS usable FROM n""")
 def coverage_mask(spark, sf):
-    """Months of each state that are data rather than holes: a state's months are one short group."""
-
-    def mask(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("month")
-        return rows.assign(usable=ev.coverage_mask(rows["notices"].tolist(), rows["seen"].tolist()))[["state", "month", "notices", "usable"]]
-
-    return panel(spark, sf).groupBy("state").applyInPandas(mask, "state string, month string, notices long, usable boolean")
+    """Months of each state that are data rather than holes."""
+    return ev.usable_months(panel(spark, sf), "state", "month", "notices", "seen").select("state", "month", "notices", "usable")
 
 
 _SCORED = "s AS (SELECT l.quality AS y, CAST(d.n_chars % 97 AS INT) AS s, d.doc_id FROM documents d JOIN labels l USING (doc_id))"

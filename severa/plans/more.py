@@ -39,7 +39,7 @@ def search_names(spark, sf):
     k = F.col("c_custkey")
     short = F.regexp_replace("c_name", "#", "Q")
     raw = F.when(k % 4 == 0, F.concat(F.lit("**RESCINDED** "), short, F.lit(" (Remote) Distribution Center"))).when(k % 4 == 1, F.concat(short, F.lit(", dba Shop "), k.cast("string"), F.lit("x"))).otherwise(F.concat(short, F.lit(" 12 Main St, Town OH 43004")))
-    rows = table(spark, sf, "customer").where("c_custkey % 4 <> 2").select("c_custkey", names.search_name_udf(raw).alias("n"), names.trade_name_udf(raw).alias("trade"))
+    rows = table(spark, sf, "customer").where("c_custkey % 4 <> 2").select("c_custkey", names.search_name(raw).alias("n"), names.trade_name(raw).alias("trade"))
     return rows.select("c_custkey", F.regexp_replace("n", "Q", "#").alias("name"), "trade")
 
 

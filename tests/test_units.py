@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from severa.functions import naics, text
+from severa.functions import names, naics, text
 from severa.operators import dedup, events, filters, linkage, outlook, timeline, validate
 from severa.operators.graph import connected_components
 from severa.sources import letters, sinks, tables
@@ -64,7 +64,7 @@ def test_closure(spark, raw, want):
     assert one(spark, text.closure_category(F.lit(raw).cast("string"))) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [("The Boeing Company", "boeing"), ("Inc", "inc"), ("(1045) San Diego Center", "san diego center"), ("Food 4 Less #364", "food 4 less"), ("Acme Co., Inc.", "acme"), (None, "")])
+@pytest.mark.parametrize(("raw", "want"), [("The Boeing Company", "boeing"), ("Inc", "inc"), ("(77) Harbor Diner", "harbor diner"), ("Depot 8 Cafe #12", "depot 8 cafe"), ("Acme Co., Inc.", "acme"), (None, "")])
 def test_company_key(spark, raw, want):
     assert one(spark, text.company_key(F.lit(raw).cast("string"))) == want
 
@@ -180,10 +180,21 @@ def test_events_never_read_the_future(spark):
     assert (r.day_notices, r.prior_notices_1y, r.prior_layoffs, r.prior_events, r.next_gap_days, r.label) == (2, 2, 20, 1, 455, 0)
 
 
-def test_coverage_mask():
-    assert events.coverage_mask([0, 0, 9, 8, 9, 9, 0, 0, 9, 9, 8, 9, 0, 0], [False, False] + [True] * 12) == [False, False, True, True, True, True, False, False, True, True, True, True, False, False]
-    assert events.coverage_mask([1, 0, 1, 0, 1], [True] * 5) == [True] * 5
-    assert events.coverage_mask([0, 0], [False, False]) == [False, False]
+def test_coverage_mask(spark):
+    def usable(counts, unseen=0):
+        rows = [("k", f"{2000 + i // 12}-{i % 12 + 1:02}", n, i >= unseen) for i, n in enumerate(counts)]
+        out = events.usable_months(spark.createDataFrame(rows, "state string, month string, n long, seen boolean"), "state", "month", "n", "seen")
+        return [r.usable for r in out.orderBy("month").collect()]
+
+    assert usable([0, 9, 8, 9, 0, 0, 9, 9, 10, 9, 0, 0], unseen=1) == [False, True, True, True, False, False, True, True, True, True, False, False]
+    assert usable([1, 0, 2, 0, 1, 1]) == [True] * 6  # single zeros are usual at a level of one
+    assert usable([2, 2, 2, 0, 0, 0, 0, 2, 2, 2, 2]) == [True] * 3 + [False] * 4 + [True] * 4
+    assert usable([2, 2, 2, 0, 0, 0, 2, 2, 2, 2]) == [True] * 10  # exp(-6) is over a thousandth
+    assert usable([40] * 8 + [12]) == [True] * 8 + [False]
+    assert usable([40] * 8 + [0] * 7) == [True] * 8 + [False] * 7  # six at the end, the seventh as a run of zeros
+    assert usable([0, 0], unseen=2) == [False, False]
+    got = one(spark, events.poisson_cdf(F.lit(900), F.lit(1000.0)))
+    assert abs(got - 0.000675) < 1e-4 and abs(one(spark, events.poisson_cdf(F.lit(2), F.lit(3.0))) - 8.5 * math.exp(-3)) < 1e-3
 
 
 def test_q_values(spark):
@@ -332,3 +343,29 @@ def test_series_is_skipped_when_broken(spark):
 
 def test_pandas_udf_takes_nulls():
     assert linkage.name_similarity.func(pd.Series(["a", None]), pd.Series(["a", None])).tolist() == [1.0, 1.0]
+
+
+@pytest.mark.parametrize(
+    ("raw", "name", "trade"),
+    [
+        ("* Amended - Corrected: Northwind Foods", "Northwind Foods", None),
+        ("Northwind Foods, dba Fresh Corner", "Northwind Foods", "Fresh Corner"),
+        ("Quill &amp; Ink LLC (Remote workers) Fulfillment Centre", "Quill & Ink LLC", None),
+        ("Blue Kite Air 1200 Ocean Ave, Suite 4, Bayport NJ 07001", "Blue Kite Air", None),
+        ("Tall Pine Burgers, a franchisee of Big Pine and its subsidiaries", "Tall Pine Burgers", None),
+        ("(12) Lantern Hotel #88 [closed]", "Lantern Hotel", None),
+        ("Updated", "Updated", None),
+        (None, "", None),
+    ],
+)
+def test_search_names(spark, raw, name, trade):
+    c = F.lit(raw).cast("string")
+    assert (one(spark, names.search_name(c)), one(spark, names.trade_name(c))) == (name, trade)
+
+
+def test_name_tokens(spark):
+    key = lambda s: F.lit(s)
+    assert one(spark, names.significant_tokens(key("a b c of harbor group x"))) == ["abc", "harbor"]
+    assert one(spark, names.is_unsearchable(key("the company"))) and not one(spark, names.is_unsearchable(key("harbor")))
+    assert one(spark, names.match_is_consistent(key("harbor foods"), key("foods international"))) and not one(spark, names.match_is_consistent(key("harbor"), key("tower")))
+    assert one(spark, names.alternative_queries(key("Harbor Foods, Inc. dba Corner Shop"))) == ["Corner Shop", "Harbor Foods"]

@@ -1,38 +1,163 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest
 ancestor directory.
 
-Every line of every file that holds a licence term is a segment. Its words, weighted by how few segments and templates
-hold them, are joined to the templates' words; the cosine decides. A directory's licence is that of its licence files;
-files without one of their own take the nearest ancestor's, found by joining each distinct directory's ancestor paths.
+A file's units are, for each template, all windows of as many words as the template has, an eighth of it apart (one word
+apart for templates of under 16 words), so that headers count wherever they stand and however their lines are wrapped; and
+the whole text. A word weighs its count in the unit by the logarithm of how few files hold it. A unit of cosine c holds
+template words of at least c**2 of the template's squared weight (Cauchy-Schwarz), so a file with less of a template than
+that needs no comparison with it: a bound that drops nothing.
+
+Only words of templates are counted in the corpus; another word lengthens a unit by the weight of a word of one file. A
+directory's licence is that of its licence files; files without one of their own take the nearest ancestor's, found by
+joining each distinct directory's ancestor paths.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from severa.staging import stage
 
-from .common import text_of
+from . import hashing
+from .common import small_batches, text_of
+from .license_texts import TEMPLATES
+
+U64 = np.uint64
+LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
+#: Windows that are weighed at once.
+WINDOWS = 2048
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+class Terms(NamedTuple):
+    """Templates as vectors over the hashes of their words. vocab is sorted; vectors has a row a template."""
+
+    names: list[str]
+    lengths: np.ndarray
+    vocab: np.ndarray
+    counts: np.ndarray
+
+
+def terms_of(templates: dict[str, tuple[str, ...]]) -> Terms:
+    names, rows = [], []
+    for name, texts in sorted(templates.items()):
+        for text in texts:
+            data = re.sub(_BETWEEN, " ", text.lower()).encode()
+            words, _ = hashing.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            names.append(name)
+            rows.append(words)
+    vocab = np.unique(np.concatenate(rows))
+    counts = np.stack([np.bincount(np.searchsorted(vocab, r), minlength=len(vocab)) for r in rows])
+    return Terms(names, np.array([len(r) for r in rows]), vocab, counts)
+
+
+def _idf(held: np.ndarray | int, files: int) -> np.ndarray:
+    return np.log((1.0 + files) / (1.0 + np.asarray(held))) + 1.0
+
+
+def _found(vocab: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word among vocab, or -1."""
+    at = np.minimum(np.searchsorted(vocab, words), len(vocab) - 1)
+    return np.where(vocab[at] == words, at, -1)
 
-#: Identifying sentences of public licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "proprietary": "All rights reserved",
-}
-#: A line without any of these is no licence notice.
-TERMS = r"(?i)licen[cs]e|rights reserved|redistribution|spdx|copyright|public domain"
-LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
+def _count(terms: Terms):
+    """Rows (text) -> (term, n): in how many of the texts each template word occurs."""
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms.vocab), np.int64)
+        for batch in batches:
+            for lo, hi, data, offsets in hashing.texts_of(batch.column(0)):
+                words, first = hashing.words_of(data, offsets)
+                at, doc = _found(terms.vocab, words), np.repeat(np.arange(hi - lo), np.diff(first))
+                once = np.unique(doc[at >= 0] * len(terms.vocab) + at[at >= 0])
+                total += np.bincount(once % len(terms.vocab), minlength=len(terms.vocab))
+        use = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array(total[use])], names=["term", "n"])
+
+    return run
+
+
+class _Scorer:
+    """Cosines of the units of one text."""
+
+    def __init__(self, terms: Terms, held: np.ndarray, files: int):
+        self.terms, self.idf, self.other = terms, _idf(held, files), float(_idf(1, files))
+        weights = terms.counts * self.idf
+        self.vectors = weights / np.sqrt(np.square(weights).sum(1))[:, None]
+        self.squares = np.square(self.vectors).T
+
+    def cosines(self, ids: np.ndarray, starts: np.ndarray, length: int, template: int) -> np.ndarray:
+        """ids: of the text's words, from len(vocab) on for words of no template."""
+        out = []
+        width, v = int(ids.max()) + 1, len(self.terms.vocab)
+        for a in range(0, len(starts), WINDOWS):
+            some = starts[a : a + WINDOWS]
+            keys = ids[some[:, None] + np.arange(length)] + np.arange(len(some))[:, None] * width
+            key, n = np.unique(keys, return_counts=True)
+            unit, word = key // width, key % width
+            w = n * np.where(word < v, self.idf[np.minimum(word, v - 1)], self.other)
+            dot = np.bincount(unit, np.where(word < v, w * self.vectors[template][np.minimum(word, v - 1)], 0.0), minlength=len(some))
+            out.append(dot / np.sqrt(np.bincount(unit, w * w, minlength=len(some))))
+        return np.concatenate(out)
+
+    def best(self, ids: np.ndarray, template: int) -> float:
+        length = int(self.terms.lengths[template])
+        n = len(ids)
+        if n <= length:
+            return float(self.cosines(ids, np.zeros(1, int), n, template)[0])
+        step = max(1, length // 8) if length >= 16 else 1
+        starts = np.unique(np.append(np.arange(0, n - length + 1, step), n - length))
+        # A window needs as much of the template as the whole text does.
+        held = np.flatnonzero(ids < len(self.terms.vocab))
+        held = held[self.terms.counts[template][ids[held]] > 0]
+        inside = np.searchsorted(held, starts + length) - np.searchsorted(held, starts)
+        starts = starts[inside > 0]
+        whole = self.cosines(ids, np.zeros(1, int), n, template)[0]
+        return float(max(whole, self.cosines(ids, starts, length, template).max(initial=0.0) if len(starts) else 0.0))
+
+
+def _scan(terms: Terms, held: np.ndarray, files: int, least: float):
+    """Rows (text, others) -> the others, own, cosine, evidence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, v = _Scorer(terms, held, files), len(terms.vocab)
+        for batch in batches:
+            for lo, hi, data, offsets in hashing.texts_of(batch.column(0)):
+                words, first = hashing.words_of(data, offsets)
+                at = _found(terms.vocab, words)
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                there = np.zeros((hi - lo, v), np.float32)
+                there[doc[at >= 0], at[at >= 0]] = 1
+                near = there @ scorer.squares >= least * least - 1e-6
+                own: list[str | None] = [None] * (hi - lo)
+                cosine: list[float | None] = [None] * (hi - lo)
+                evidence: list[float | None] = [None] * (hi - lo)
+                for d in np.flatnonzero(near.any(1)):
+                    a, b = first[d], first[d + 1]
+                    ids = at[a:b].copy()
+                    strange = ids < 0
+                    ids[strange] = v + np.unique(words[a:b][strange], return_inverse=True)[1]
+                    ranked = []
+                    for t in np.flatnonzero(near[d]):
+                        c = round(scorer.best(ids, int(t)), 6)
+                        if c >= least:
+                            ranked.append((-round(c * int(terms.lengths[t]), 6), terms.names[t], -c))
+                    if ranked:
+                        e, own[d], c = min(ranked)
+                        cosine[d], evidence[d] = -c, -e
+                rest = batch.slice(lo, hi - lo).columns[1:]
+                added = [pa.array(own, pa.string()), pa.array(cosine, pa.float64()), pa.array(evidence, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*rest, *added], names=[*batch.schema.names[1:], "own", "cosine", "evidence"])
+
+    return run
 
 
 def _ancestors(directory: Column) -> Column:
@@ -41,45 +166,32 @@ def _ancestors(directory: Column) -> Column:
     return F.when(directory == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.when(i == 0, "").otherwise(F.array_join(F.slice(parts, 1, i), "/"))))
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.6) -> DataFrame:
-    """files (repo, path, text, any others) -> file (a struct of the columns but text), own (its licence by its best
-    segment of cosine `least` or more, ties to the smallest name), cosine, inherited (licence of the nearest directory,
-    its own or above, that has a licence file), from_dir, and license (own, else inherited, else null).
+def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.75) -> DataFrame:
+    """files (repo, path, text, any others) -> file (a struct of the columns but text), own (the licence of the template
+    with the most evidence, which is its cosine, of `least` or more, times its number of words; ties to the smallest name),
+    cosine, inherited (licence of the nearest directory, its own or above, that has a licence file with one), from_dir, and
+    license (own, else inherited, else null).
 
-    A directory with several licence files takes the highest cosine, then the smallest name. Null texts have no segments;
-    a null path lies in the root of its repo; a null repo is a repo. Repeated rows each get a result; an empty table gives
-    no rows. Other columns ride along in `file`."""
-    spark = files.sparkSession
+    A directory with several licence files takes the most evidence, then the smallest name. Null and empty texts have no
+    units; a null path lies in the root of its repo; a null repo is a repo. Repeated rows each get a result; an empty table
+    gives no rows. Texts of any length are scanned whole. Other columns ride along in `file`."""
+    small_batches(files.sparkSession)
+    terms = terms_of(templates)
+    words = F.regexp_replace(F.lower(text_of()), _BETWEEN, " ").alias("text")
+    held = np.zeros(len(terms.vocab), np.int64)
+    # As many rows as the templates have words.
+    for r in files.select(words).mapInArrow(_count(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        held[r.term] = r.n
     path = F.coalesce(F.col("path"), F.lit(""))
     base = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != "text"]).alias("file")
-    segments = F.filter(F.split(text_of(), "\n"), lambda line: line.rlike(TERMS))
-    rows = stage(files.select(F.monotonically_increasing_id().alias("row"), base, F.coalesce(F.col("repo").cast("string"), F.lit("\x00")).alias("repo"), F.regexp_replace(path, "/?[^/]*$", "").alias("dir"), F.regexp_extract(path, "[^/]*$", 0).rlike(LICENSE_FILE).alias("is_license"), segments.alias("segments")), "segments")
-
-    known = spark.createDataFrame(sorted(templates.items()), "license string, template string").select("license", _words(F.col("template")).alias("words"))
-    lines = rows.select("row", F.posexplode("segments").alias("line", "segment")).select("row", "line", _words(F.col("segment")).alias("words"))
-    # The templates are a fixed handful of sentences; so are the words that they share with anything.
-    terms = F.broadcast(known.select("license", F.explode("words").alias("word")).groupBy("license", "word").agg(F.count("*").alias("tf")))
-    vocabulary = F.broadcast(terms.select("word").distinct())
-    counted = lines.select("row", "line", F.explode("words").alias("word")).groupBy("row", "line", "word").agg(F.count("*").alias("tf"))
-    total = lines.count() + len(templates)
-    held = counted.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n")).union(terms.groupBy("word").count()).groupBy("word").agg(F.sum("n").alias("df"))
-    # A word that no template holds only lengthens a segment; it weighs as one seen once.
-    idf = lambda df: F.log((F.lit(1.0) + total) / (F.lit(1.0) + df)) + 1.0
-    held = F.broadcast(stage(held, "word-counts"))
-    weight = F.col("tf") * idf(F.coalesce("df", F.lit(1)))
-    known_w = terms.join(held, "word").select("license", "word", weight.alias("w"))
-    lengths = known_w.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    known_w = F.broadcast(known_w.join(lengths, "license").select("license", "word", (F.col("w") / F.col("norm")).alias("tw")))
-    weighed = counted.join(held, "word", "left").select("row", "line", "word", weight.alias("w"))
-    scores = weighed.join(known_w, "word").groupBy("row", "line", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    # A word of several templates meets several rows, so lengths are summed before the join.
-    norms = weighed.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    good = scores.join(norms, ["row", "line"]).select("row", "license", cosine.alias("cosine")).where(F.col("cosine") >= least)
-    own = stage(good.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best")).select("row", F.col("best.license").alias("own"), (-F.col("best.less")).alias("cosine")), "own-licenses")
-
-    licensed = rows.where("is_license").select("row", "repo", "dir").join(own, "row").groupBy("repo", "dir").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "own")).alias("best")).select("repo", F.col("dir").alias("above"), F.col("best.own").alias("inherited"))
+    repo = F.coalesce(F.col("repo").cast("string"), F.lit("\x00")).alias("repo")
+    rows = files.select(words, base, repo, F.regexp_replace(path, "/?[^/]*$", "").alias("dir"), F.regexp_extract(path, "[^/]*$", 0).rlike(LICENSE_FILE).alias("is_license"))
+    kind = rows.schema["file"].dataType.simpleString()
+    scanned = rows.mapInArrow(_scan(terms, held, files.count(), least), f"file {kind}, repo string, dir string, is_license boolean, own string, cosine double, evidence double")
+    rows = stage(scanned, "own-licenses")
+
+    licensed = rows.where("is_license and own is not null").groupBy("repo", "dir").agg(F.min(F.struct((-F.col("evidence")).alias("less"), "own")).alias("best")).select("repo", F.col("dir").alias("above"), F.col("best.own").alias("inherited"))
     places = rows.select("repo", "dir").distinct().select("repo", "dir", F.explode(_ancestors(F.col("dir"))).alias("above"))
     near = places.join(licensed, ["repo", "above"]).groupBy("repo", "dir").agg(F.max_by(F.struct("inherited", F.col("above").alias("from_dir")), F.length("above")).alias("up"))
-    out = rows.select("row", "file", "repo", "dir").join(own, "row", "left").join(near, ["repo", "dir"], "left")
+    out = rows.join(near, ["repo", "dir"], "left")
     return out.select("file", "own", "cosine", "up.inherited", "up.from_dir", F.coalesce("own", "up.inherited").alias("license"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from severa.llm import toxicity
 from severa.llm.decontamination import decontaminate
-from severa.llm.license_scan import scan_licenses
 from severa.llm.quality_rules import quality_rules
 from severa.llm.source_mix import fit, mix_sources
 from severa.llm.substring_dedup import dedup_substrings
@@ -235,12 +234,3 @@ def test_url_filters(spark):
     assert filter_urls(captures.limit(0), entries).count() == 0 and filter_urls(captures, entries.limit(0)).where("blocked").count() == 0
     keys = spark.range(1).select(lookup_keys(F.lit("https://a.b.com:8080/x/y.html?q#f")).alias("k")).first().k
     assert set(keys) == {"a.b.com", "b.com", "com", "a.b.com/", "a.b.com/x/"}
-
-
-def test_licenses(spark):
-    mit, apache = "text\nReleased under the MIT License.\nmore", "Licensed under the Apache License, Version 2.0."
-    rows = [("r", "LICENSE", mit, 1), ("r", "a/f.txt", "nothing", 2), ("r", "a/b/LICENSE.md", apache, 3), ("r", "a/b/c/g.txt", None, 4), ("r", "a/h.txt", "All rights reserved.", 5), ("s", "f.txt", "licensed meals", 6), (None, None, mit, 7), ("r", "a/b/COPYING", mit, 8), ("r", "a/f.txt", "nothing", 2)]
-    files = spark.createDataFrame(rows, "repo string, path string, text string, row int")
-    got = Counter((r.file.row, r.own, r.inherited, r.from_dir, r.license) for r in scan_licenses(files).collect())
-    assert got == Counter({(1, "MIT", "MIT", "", "MIT"): 1, (2, None, "MIT", "", "MIT"): 2, (3, "Apache-2.0", "Apache-2.0", "a/b", "Apache-2.0"): 1, (4, None, "Apache-2.0", "a/b", "Apache-2.0"): 1, (5, "proprietary", "MIT", "", "proprietary"): 1, (6, None, None, None, None): 1, (7, "MIT", None, None, "MIT"): 1, (8, "MIT", "Apache-2.0", "a/b", "MIT"): 1})
-    assert scan_licenses(files.limit(0)).count() == 0

@@ -8,11 +8,11 @@ at most 2**bits, go to every task, and scoring takes all rows where they lie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,14 @@ def plain_words(text):
     return F.regexp_replace(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
-def ftrl(texts: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+def sets(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of each text, one after the other, and where each text's begin, with the end last."""
+    doc, found = _features(data, offsets, bits)
+    once = np.unique((doc.astype(np.int64) << bits) | found)
+    return (once & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(once >> bits, np.arange(len(offsets)))
+
+
+def ftrl(texts: Iterable[np.ndarray], labels: np.ndarray, bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features by FTRL-proximal; the last coordinate is the bias, which L1 doesn't touch."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
@@ -65,17 +72,21 @@ def ftrl(texts: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int, al
     return kept, w[kept]
 
 
+class _Texts:
+    """Feature sets that can be gone through again and again, held as a few long arrays."""
+
+    def __init__(self, column: pa.Array, bits: int):
+        self.chunks = [sets(data, offsets, bits) for _, _, data, offsets in hashing.texts_of(column)]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (found[a:b] for found, bounds in self.chunks for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
 def _learn(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "text"])
-        texts = []
-        for lo, hi, data, offsets in hashing.texts_of(pa.array(rows["text"], pa.string())):
-            doc, found = _features(data, offsets, bits)
-            order = np.argsort(doc, kind="stable")
-            bounds = np.searchsorted(doc[order], np.arange(hi - lo + 1))
-            texts += [np.unique(found[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        kept, w = ftrl(texts, rows["y"].to_numpy(), bits, epochs, alpha, beta, l1, l2)
-        return pd.DataFrame({"feature": kept, "weight": w})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("draw", "ascending")])).combine_chunks()
+        kept, w = ftrl(_Texts(rows.column("text").combine_chunks(), bits), rows.column("y").to_numpy(), bits, epochs, alpha, beta, l1, l2)
+        return pa.table({"feature": pa.array(kept, pa.int64()), "weight": w})
 
     return run
 
@@ -97,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_bytes: in
     share = _share(min(most / max(1, held["n"]), most_bytes / max(1, held["bytes"] or 0)))
     sample = rows.where(F.pmod("draw", F.lit(1 << 20)) < share).select(plain_words(F.col("text")).alias("text"), "y", "draw")
     once = sample.groupBy("draw").agg(F.any_value("text").alias("text"), F.any_value("y").alias("y"))
-    learnt = once.groupBy().applyInPandas(_learn(bits, epochs, alpha, beta, l1, l2), "feature long, weight double")
+    learnt = once.groupBy().applyInArrow(_learn(bits, epochs, alpha, beta, l1, l2), "feature long, weight double")
     return {f: w for f, w in learnt.collect()}
 
 

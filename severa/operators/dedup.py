@@ -68,6 +68,13 @@ def mint_ids(known: DataFrame, wanted: DataFrame, key: str, id_column: str) -> D
     return known.select(key, id_column).unionByName(numbered.select(key, (F.col("top") + F.col("n")).cast("long").alias(id_column)))
 
 
+def shared_names(companies: DataFrame, rank: Column) -> DataFrame:
+    """companies (company_id, name_key, unique_id, domain) -> for each name: n, uids, domains, one (whether its companies
+    are one) and name_head, the company of the highest rank."""
+    names = companies.groupBy("name_key").agg(F.count("*").alias("n"), F.count_distinct("unique_id").alias("uids"), F.count_distinct(F.nullif("domain", F.lit(""))).alias("domains"), F.max_by("company_id", rank).alias("name_head"))
+    return names.withColumn("one", (F.col("uids") < 2) | (F.col("domains") == 1))
+
+
 def consolidate(companies: DataFrame, name_key: Column, totals: DataFrame) -> DataFrame:
     """company_id -> survivor_id: companies that share a unique id are one; then those that share a name, unless the name
     has two unique ids or more with more than one web domain between them. The survivor is enriched, most confident, has
@@ -77,8 +84,7 @@ def consolidate(companies: DataFrame, name_key: Column, totals: DataFrame) -> Da
     by_uid = rows.where("unique_id is not null").groupBy("unique_id").agg(F.max_by("company_id", rank).alias("uid_head"))
     rows = rows.join(by_uid, "unique_id", "left").withColumn("head", F.coalesce("uid_head", "company_id"))
     heads = rows.where("head = company_id")
-    names = heads.groupBy("name_key").agg(F.count_distinct("unique_id").alias("uids"), F.count_distinct(F.nullif("domain", F.lit(""))).alias("domains"), F.max_by("company_id", rank).alias("name_head"))
-    names = names.where("uids < 2 or domains = 1").select("name_key", "name_head")
+    names = shared_names(heads, rank).where("one").select("name_key", "name_head")
     of_head = heads.join(names, "name_key", "left").select(F.col("company_id").alias("head"), F.coalesce("name_head", "company_id").alias("survivor_id"))
     return rows.select("company_id", "head").join(of_head, "head").select("company_id", "survivor_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -85,3 +87,46 @@ def promotion(new: dict, old: dict | None, least_gain: float = 0.0, most_ece: fl
     if old and new["average_precision"] < old["average_precision"] + least_gain:
         out.append("no better than the live model")
     return out
+
+
+def _uno(rows: pa.Table) -> pa.Table:
+    """Cells (time, risk, n, died, weight) -> concordant and all weight."""
+    time, risk, n, died, weight = (rows.column(c).to_numpy() for c in ("time", "risk", "n", "died", "weight"))
+    times, t = np.unique(time, return_inverse=True)
+    risks, r = np.unique(risk, return_inverse=True)
+    later = np.zeros((len(times) + 1, len(risks)))
+    np.add.at(later, (t, r), n)
+    later = np.cumsum(later[::-1], 0)[::-1]  # at t: those whose time is t or later
+    below = np.cumsum(later, 1) - later
+    w = died * weight
+    concordant = (w * (below[t + 1, r] + later[t + 1, r] / 2)).sum()
+    return pa.table({"concordant": [concordant], "pairs": [(w * later[t + 1].sum(1)).sum()]})
+
+
+def uno_concordance(rows: DataFrame, tau: int, floor: float = 0.05) -> DataFrame:
+    """Uno's C up to tau of rows (time, observed, risk): of pairs in which one repeats before the other's time, the share in
+    which the higher risk does, ties a half, each weighted by the inverse squared chance of not being censored before.
+
+    Rows are counted by day and risk first: a cell for each day up to tau and each level of risk is all that one task
+    gets, so risk must come in levels."""
+    cut = rows.select(F.least(F.col("time"), F.lit(tau)).cast("long").alias("time"), (F.col("observed") & (F.col("time") < tau)).alias("observed"), F.col("risk").cast("double").alias("risk"))
+    by_time = cut.groupBy("time").agg(F.count("*").alias("n"), F.count_if(~F.col("observed")).alias("c"))
+    stay = by_time.withColumn("f", 1.0 - F.col("c") / F.sum("n").over(Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.aggregate(F.collect_list("f").over(Window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0), lambda a, x: a * x)
+    g = stay.select("time", F.pow(F.greatest(F.lit(floor), before), -2).alias("weight"))
+    cells = cut.groupBy("time", "risk").agg(F.count("*").alias("n"), F.count_if(F.col("observed")).alias("died")).join(g, "time")
+    return cells.groupBy().applyInArrow(_uno, "concordant double, pairs double").select((F.col("concordant") / F.col("pairs")).alias("concordance"))
+
+
+def tier(risk: Column, least: dict[str, float], rest: str) -> Column:
+    """The first tier whose least risk is reached, else `rest`."""
+    out = F.lit(rest)
+    for name, bound in reversed(least.items()):
+        out = F.when(risk >= bound, name).otherwise(out)
+    return out
+
+
+def strict_json(*fields: Column) -> Column:
+    """An object of the fields in which null and what is not a finite number are null."""
+    body = F.struct(*fields)
+    return F.regexp_replace(F.to_json(body, {"ignoreNullFields": "false"}), r':"(?:NaN|-?Infinity)"', ":null")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from severa.operators.filters import totals
 
+#: Days back, null for all, and bucket of the ranges that a page offers.
+PRESETS = {"30d": (30, "day"), "1y": (365, "month"), "5y": (1826, "month"), "all": (None, "year")}
 PATTERNS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
 
@@ -23,18 +25,35 @@ def over_time(rows: DataFrame, bucket: str = "month") -> DataFrame:
     return rows.where(F.col("notice_date").isNotNull()).groupBy(bucket_of(F.col("notice_date"), bucket).alias("period")).agg(*totals())
 
 
+def _span(as_of: datetime.date, bucket: str) -> tuple[datetime.date, int, int]:
+    """First day, days and days passed of the month or year of as_of."""
+    if bucket == "month":
+        return as_of.replace(day=1), calendar.monthrange(as_of.year, as_of.month)[1], as_of.day
+    return as_of.replace(month=1, day=1), 366 if calendar.isleap(as_of.year) else 365, as_of.timetuple().tm_yday
+
+
+def pace(count: Column, as_of: datetime.date, bucket: str = "month") -> Column:
+    """A count of the running month or year scaled to the whole of it, never less than reported; null if under a tenth has
+    passed and on its last day."""
+    _, days, elapsed = _span(as_of, bucket)
+    live = bucket in ("month", "year") and elapsed < days and elapsed * 10 >= days
+    return F.when(F.lit(live), F.greatest(count, F.bround(count * F.lit(days / elapsed)).cast("long")))
+
+
+def page(rows: DataFrame, limit: int = 50, offset: int = 0, most: int = 500) -> DataFrame:
+    """One page of ordered rows: from 1 to `most` of them."""
+    return rows.offset(max(0, offset)).limit(min(max(1, limit), most))
+
+
 def project_pace(periods: DataFrame, as_of: datetime.date, bucket: str = "month", after: datetime.date | None = None, before: datetime.date | None = None) -> DataFrame:
     """Adds projected_notices and projected_layoffs to the last row if it is the period of as_of: counts scaled to the
     whole period, never less than reported; null if under a tenth has passed, on its last day, or if a bound cuts it."""
-    if bucket == "month":
-        start, days, elapsed = as_of.replace(day=1), calendar.monthrange(as_of.year, as_of.month)[1], as_of.day
-    else:
-        start, days, elapsed = as_of.replace(month=1, day=1), 366 if calendar.isleap(as_of.year) else 365, as_of.timetuple().tm_yday
+    start, _, _ = _span(as_of, bucket)
     cut = (before is not None and before < as_of) or (after is not None and after > start)
-    live = bucket in ("month", "year") and not cut and elapsed < days and elapsed * 10 >= days
     now = F.lit(as_of.isoformat()[: 7 if bucket == "month" else 4])
+    # A row for each period.
     last = F.max("period").over(Window.partitionBy())
-    scaled = lambda c: F.when(F.lit(live) & (F.col("period") == now) & (F.col("period") == last), F.greatest(F.col(c), F.bround(F.col(c) * F.lit(days / elapsed)).cast("long")))
+    scaled = lambda c: F.when(F.lit(not cut) & (F.col("period") == now) & (F.col("period") == last), pace(F.col(c), as_of, bucket))
     return periods.withColumns({"projected_notices": scaled("notice_count"), "projected_layoffs": scaled("layoff_total")})
 
 

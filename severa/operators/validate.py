@@ -27,12 +27,17 @@ def insert_rules(rows: DataFrame, as_of: datetime.date) -> DataFrame:
     return rows.withColumns({"effective_date": effective, "notice_date": F.least(date, F.lit(as_of))})
 
 
-def blank_implausible(rows: DataFrame) -> DataFrame:
-    """Negative counts and effective dates over two years before or five after the notice become null."""
+def missing_shares(rows: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
+    """The share of nulls in each required field, by batch."""
+    return rows.groupBy(*keys).agg(*[F.round(F.avg(F.col(c).isNull().cast("double")), 6).alias(c) for c in required])
+
+
+def blank_implausible(rows: DataFrame, back: int = 730, ahead: int = 1825) -> DataFrame:
+    """Negative counts and effective dates more than `back` days before or `ahead` after the notice become null."""
     days = F.datediff("effective_date", "notice_date")
     return rows.withColumns({
         "layoff_count": F.when(F.col("layoff_count") >= 0, F.col("layoff_count")),
-        "effective_date": F.when(days.isNull() | days.between(-730, 1825), F.col("effective_date")),
+        "effective_date": F.when(days.isNull() | days.between(-back, ahead), F.col("effective_date")),
     })
 
 

@@ -1,9 +1,10 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
-Every window of `width` words is hashed. The hashes are dealt out by value, a few thousand to a row, so that all
-occurrences of a window meet in one of many equal groups: a passage's windows, however often they occur, spread over
-the groups. There each occurrence but the first is marked; the marks go back to their documents, again many to a row,
-and merge into maximal removal intervals. Windows are judged on the input. Words are told apart by 64-bit hashes of 64-bit word hashes.
+Every window of `width` words is hashed. A task combines the windows of some FLUSH of them first: of equal ones only the
+earliest goes on, and the others are marked at once, so that a window of every document sends one place a flush. What goes
+on is dealt out by the value of the hash, many to a row, so that equal windows meet in one of many even groups, where all
+but the earliest are marked. Marks go back to their documents, again many to a row, and merge into maximal removal
+intervals. Windows are judged on the input. Words are told apart by 64-bit hashes of 64-bit word hashes.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import keyed, text_of
+from .common import keyed, small_batches, text_of
 
-#: Bytes of text whose windows make one group.
-GROUP_BYTES = 8 << 20
+#: Bytes of text whose windows make one group: some 2.6 million of them, of which a task holds the hashes.
+GROUP_BYTES = 16 << 20
+#: Windows that a task combines and packs at once. At 1 TB of text, 62,500 groups, a packed row still holds 32 windows.
+FLUSH = 2_000_000
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -68,47 +71,111 @@ def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
-def _deal(width: int, parts: int):
-    """Rows (k, occ, text) -> the hashes of their windows by part of the hash space, with their places."""
+class _Held:
+    """The windows of some documents of a task."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.occs: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.hashes: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, occs: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> None:
+        """counts: windows of each document, whose hashes follow one another."""
+        for held, new in ((self.keys, keys), (self.occs, occs), (self.counts, counts), (self.hashes, hashes)):
+            held.append(new)
+        self.size += len(hashes)
+
+    def pack(self, parts: int) -> pa.RecordBatch:
+        """Rows by part of the hash space: each window's earliest place. From `parts` on, rows by group of documents: the
+        places of windows that are here and start earlier here."""
+        keys, occs, counts, hashes = (np.concatenate(x) for x in (self.keys, self.occs, self.counts, self.hashes))
+        # Documents in order; a row that repeats a document has its place.
+        rank = np.lexsort((occs, keys))
+        keys, occs = keys[rank], occs[rank]
+        new = np.ones(len(rank), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (occs[1:] != occs[:-1])
+        begin, counts = (np.cumsum(counts) - counts)[rank], counts[rank]
+        pos = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+        hashes = hashes[np.repeat(begin, counts) + pos]
+        place = np.repeat(np.cumsum(new) - 1, counts)
+        keys, occs = keys[new], occs[new]
+        # In this order the first of equal windows is the earliest.
+        order = np.argsort(hashes, kind="stable")
+        again = np.zeros(len(order), bool)
+        again[1:] = hashes[order][1:] == hashes[order][:-1]
+        first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+        late = np.sort(order[again & ((place[order] != place[first]) | (pos[order] != pos[first]))])
+        keep = np.sort(order[~again])
+        rows = self._rows(_slot(hashes[keep], parts), keep, hashes, keys, occs, place, pos)
+        fresh = np.ones(len(late), bool)
+        by_place = np.lexsort((pos[late], place[late]))
+        late = late[by_place]
+        fresh[1:] = (place[late][1:] != place[late][:-1]) | (pos[late][1:] != pos[late][:-1])
+        late = late[fresh]
+        rows += self._rows(parts + _slot(hashing.mix(keys[place[late]].view(np.uint64)), parts), late, None, keys, occs, place, pos)
+        return _batch("part", rows)
+
+    @staticmethod
+    def _rows(part: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, keys: np.ndarray, occs: np.ndarray, place: np.ndarray, pos: np.ndarray) -> list[list]:
+        order = np.argsort(part, kind="stable")
+        part, at = part[order], at[order]
+        bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+        rows = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own = at[a:b]
+            new = np.flatnonzero(np.diff(place[own], prepend=-1))
+            ids = place[own[new]]
+            rows.append([int(part[a]), hashes[own].tobytes() if hashes is not None else b"", *_pack(keys[ids], occs[ids], new, pos[own])])
+        return rows
+
+
+def _deal(width: int, parts: int, flush: int):
+    """Rows (k, occ, text) -> their windows as `_Held` packs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
             keys, occs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, data, offsets in hashing.texts_of(batch.column(2)):
                 words, first = hashing.words_of(data, offsets)
-                hashes, at = hashing.windows_of(words, first, width)
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))[at]
-                pos = at - first[doc]
-                rank = np.lexsort((occs[lo:hi], keys[lo:hi]))
-                place = np.empty(hi - lo, np.int64)
-                place[rank] = np.arange(hi - lo)
-                part = _slot(hashes, parts)
-                order = np.lexsort((at, place[doc], part))
-                bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-                rows = []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = order[a:b]
-                    where = place[doc[own]]
-                    new = np.flatnonzero(np.diff(where, prepend=-1))
-                    ids = rank[where[new]] + lo
-                    rows.append([int(part[own[0]]), hashes[own].tobytes(), *_pack(keys[ids], occs[ids], new, pos[own])])
-                if rows:
-                    yield _batch("part", rows)
+                hashes, _ = hashing.windows_of(words, first, width)
+                held.add(keys[lo:hi], occs[lo:hi], np.maximum(np.diff(first) - width + 1, 0), hashes)
+                if held.size >= flush:
+                    yield held.pack(parts)
+                    held = _Held()
+        if held.size:
+            yield held.pack(parts)
 
     return run
 
 
-def _repeats(groups: int):
-    """All windows of one part -> the places of those that occur earlier, by group of documents."""
+def _repeats(parts: int):
+    """All windows of one part -> the places of those that occur earlier, by group of documents. Marks made before pass."""
 
     def run(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-        packed = zip(*(table.column(c).to_pylist() for c in ("keys", "occs", "counts", "gaps")), strict=True)
-        k, o, p = map(np.concatenate, zip(*(_unpack(*x) for x in packed), strict=True))
+        part = table.column("part")[0].as_py()
+        if part >= parts:
+            return table.drop_columns(["part", "hashes"]).add_column(0, "docs", pa.array([part - parts] * len(table), pa.int32()))
+        packed = table.column("hashes").to_pylist()
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in packed])
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
-        rep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        h, k, o, p = h[rep], k[rep], o[rep], p[rep]
+        rep = np.zeros(len(h), bool)
+        rep[order[1:][same]] = rep[order[:-1][same]] = True
+        # Only the places of windows that repeat are unpacked for good.
+        ends = np.cumsum([len(x) // 8 for x in packed])
+        found: list[tuple[np.ndarray, ...]] = []
+        for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+            own = np.flatnonzero(rep[a:b])
+            if len(own):
+                k, o, p = _unpack(*(table.column(c)[i].as_py() for c in ("keys", "occs", "counts", "gaps")))
+                found.append((h[a:b][own], k[own], o[own], p[own]))
+        empty = pa.schema([("docs", pa.int32()), *((c, pa.binary()) for c in ("keys", "occs", "counts", "gaps"))]).empty_table()
+        if not found:
+            return empty
+        h, k, o, p = map(np.concatenate, zip(*found, strict=True))
         order = np.lexsort((p, o, k, h))
         h, k, o, p = h[order], k[order], o[order], p[order]
         # A row that is an exact repeat of its doc_id's row has the same place: it is that place, not a later one.
@@ -117,15 +184,14 @@ def _repeats(groups: int):
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
         late = again & ~((k == k[first]) & (o == o[first]) & (p == p[first]))
         k, o, p = k[late], o[late], p[late]
-        group = _slot(hashing.mix(k.view(np.uint64)), groups)
+        group = _slot(hashing.mix(k.view(np.uint64)), parts)
         order = np.lexsort((p, o, k, group))
         k, o, p, group = k[order], o[order], p[order], group[order]
-        bounds = np.flatnonzero(np.diff(group, prepend=-1, append=groups)) if len(k) else np.zeros(1, np.int64)
+        bounds = np.flatnonzero(np.diff(group, prepend=-1, append=parts)) if len(k) else np.zeros(1, np.int64)
         rows = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             new = np.flatnonzero(np.concatenate([[True], (k[a + 1 : b] != k[a : b - 1]) | (o[a + 1 : b] != o[a : b - 1])]))
             rows.append([int(group[a]), *_pack(k[a:b][new], o[a:b][new], new, p[a:b])])
-        empty = pa.schema([("docs", pa.int32()), *((c, pa.binary()) for c in ("keys", "occs", "counts", "gaps"))]).empty_table()
         return pa.Table.from_batches([_batch("docs", rows)]) if rows else empty
 
     return run
@@ -173,7 +239,7 @@ def _cut(width: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 20, group_bytes: int = GROUP_BYTES, flush: int = FLUSH) -> DataFrame:
     """documents (doc_id, text, any others) -> doc (a struct of the other columns), text, n_words, n_removed, spans
     (maximal intervals of removed words, both ends included) and kept_text (kept words joined by one space).
 
@@ -181,12 +247,13 @@ def dedup_substrings(docs: DataFrame, width: int = 20) -> DataFrame:
     in the same text. Null and empty texts, and those shorter than a window, lose nothing. A row repeated with its doc_id
     and text is the same document and gets the same result; other rows that share a doc_id are ordered by a hash of
     their text. An empty table gives no rows. Other columns, whatever their names, ride along in `doc`."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(32, -(-size // GROUP_BYTES))
+    parts = max(32, -(-size // group_bytes))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = keyed(docs, text_of().alias("text"), F.struct(*rest).alias("doc"))
     marks = (
-        rows.select("k", "occ", "text").mapInArrow(_deal(width, parts), f"part int, hashes binary, {_PLACES}")
+        rows.select("k", "occ", "text").mapInArrow(_deal(width, parts, flush), f"part int, hashes binary, {_PLACES}")
         .groupBy("part").applyInArrow(_repeats(parts), f"docs int, {_PLACES}")
         .groupBy("docs").applyInArrow(_gather, "k long, occ long, starts array<int>")
     )

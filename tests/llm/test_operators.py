@@ -39,7 +39,8 @@ def test_substrings_against_brute_force(spark):
         for _ in range(rnd.randint(0, 6)):
             words += rnd.choice(passages) if rnd.random() < 0.6 else [f"u{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(1, 5))]
         rows.append((d, " ".join(words)))
-    for width in (1, 4):
+    rows += [(100 + d, f"{' '.join(passages[0])} own{d}") for d in range(30)]  # a passage of many documents
+    for width, flush in ((1, 2_000_000), (4, 2_000_000), (4, 60)):
         seen, want = set(), {}
         for d, t in rows:
             words = t.split()
@@ -50,7 +51,7 @@ def test_substrings_against_brute_force(spark):
                     gone |= set(range(i, i + width))
                 seen.add(w)
             want[d] = (len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone))
-        out = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width).collect()
+        out = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width, flush=flush).collect()
         assert {r.doc.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out} == want
         assert all(sum(s["last"] - s["first"] + 1 for s in r.spans) == r.n_removed for r in out)
 
@@ -60,6 +61,8 @@ def test_substrings_edges(docs):
     got = Counter((r.doc.doc_id, r.n_words, r.n_removed) for r in out)
     assert got == Counter({(1, 0, 0): 1, (2, 0, 0): 1, (3, 0, 0): 1, (4, 3, 0): 1, (5, 40_000, 0): 1, (6, 3, 3): 2, (6, 3, 0): 1, (None, 2, 0): 1, (8, 6, 4): 1})
     assert out[0].doc.asDict().keys() == set(docs.columns) - {"text"}
+    for flush in (1, 5):
+        assert Counter((r.doc.doc_id, r.n_words, r.n_removed) for r in dedup_substrings(docs.repartition(2), 3, flush=flush).collect()) == got
     assert dedup_substrings(docs.limit(0)).count() == 0
 
 

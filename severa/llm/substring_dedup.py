@@ -215,7 +215,7 @@ def _cut(width: int):
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("words", "removed", "spans", "kept")}
             for text, starts in zip(batch.column(0).cast(pa.large_binary()), batch.column(1), strict=True):
-                words = text.as_py().split()  # bytes split at the six ASCII white-space characters
+                words = (text.as_py() or b"").split()  # bytes split at the six ASCII white-space characters
                 spans: list[dict] = []
                 if starts.is_valid:
                     begin = np.unique(starts.values.to_numpy(zero_copy_only=False))
@@ -240,7 +240,7 @@ def _cut(width: int):
 
 
 def dedup_substrings(docs: DataFrame, width: int = 20, group_bytes: int = GROUP_BYTES, flush: int = FLUSH) -> DataFrame:
-    """documents (doc_id, text, any others) -> doc (a struct of the other columns), text, n_words, n_removed, spans
+    """documents (doc_id, text, any others) -> doc (a struct of the other columns), text (as it was), n_words, n_removed, spans
     (maximal intervals of removed words, both ends included) and kept_text (kept words joined by one space).
 
     A word goes if a window of `width` words over it also starts earlier: in a smaller doc_id (null is largest) or before
@@ -251,9 +251,9 @@ def dedup_substrings(docs: DataFrame, width: int = 20, group_bytes: int = GROUP_
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(32, -(-size // group_bytes))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = keyed(docs, text_of().alias("text"), F.struct(*rest).alias("doc"))
+    rows = keyed(docs, F.col("text"), F.struct(*rest).alias("doc"))
     marks = (
-        rows.select("k", "occ", "text").mapInArrow(_deal(width, parts, flush), f"part int, hashes binary, {_PLACES}")
+        rows.select("k", "occ", text_of()).mapInArrow(_deal(width, parts, flush), f"part int, hashes binary, {_PLACES}")
         .groupBy("part").applyInArrow(_repeats(parts), f"docs int, {_PLACES}")
         .groupBy("docs").applyInArrow(_gather, "k long, occ long, starts array<int>")
     )

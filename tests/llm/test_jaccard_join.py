@@ -1,10 +1,11 @@
 """The Jaccard join against brute force over all pairs, and its edge cases."""
 
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 
-from severa.llm.jaccard_join import drop_near_copies, jaccard_join, prefix_length
+from severa.llm.jaccard_join import depths, drop_near_copies, jaccard_join, least_similarity, prefix_length, recall
 
 SCHEMA = "doc_id long, text string, label string, size int"
 
@@ -68,6 +69,53 @@ def test_edges(spark):
     assert jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_chain_of_weakly_similar_sets(spark):
+    """Each text shares half of its words with the next: one long chain of candidates, no link, and the odd true pair."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 30, i * 30 + 90))) for i in range(800)]
+    rows += [(2000 + i, rows[i * 40][1] + " tail") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert result(jaccard_join(docs)) == brute(rows)
+
+
+def test_chain_of_links_is_one_class(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 3, i * 3 + 90))) for i in range(300)]
+    got = result(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows) and {c for c, _ in got.values()} == {0}
+
+
+def test_classes_that_meet_only_at_shorter_prefixes(spark):
+    """Groups of near copies, with texts between them that are just over or under the threshold."""
+    import random
+
+    rnd = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for d in range(25):
+            w = list(base)
+            for at in rnd.sample(range(200), rnd.choice((0, 1, 2, 3, 4, 5, 6))):
+                w[at] = f"x{rnd.random()}"
+            rows.append((len(rows), " ".join(w)))
+    assert result(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, "x", [1], "y", "z"), (2, "a b c d e f", 1, 2, "x", [1], "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int, n int, id string, d0 array<int>, grams string, class string")
+    assert result(jaccard_join(docs)) == {1: (1, 1), 2: (1, 1)}
+    assert drop_near_copies(docs).collect() == [docs.collect()[0]]
+
+
 def test_prefix_is_shortened_until_the_recall_is_reached():
     depth = prefix_length(0.8, 24, 8, 0.9999)
-    assert 1 - (1 - 0.8**depth) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
+    assert recall(0.8, depth, 24) >= 0.9999 > recall(0.8, depth + 1, 24)
+    assert depths(0.8, 24, 8, 0.9999) == [8, depth]
+    # What is under the threshold is found less and less often, and verified away.
+    assert recall(0.7, depth, 24) > 0.98 and recall(0.5, depth, 24) < 0.54 and recall(0.3, depth, 24) < 0.06
+
+
+def test_least_similarity_of_a_size():
+    for size in range(1, 40):
+        want = min((Fraction(a, size + m - a) for m in range(1, 80) for a in range(1, min(size, m) + 1) if Fraction(a, size + m - a) >= Fraction(4, 5) and not a == size == m), default=Fraction(1))
+        assert least_similarity(size, 0.8) == float(want)
+    assert least_similarity(3, 0.8) == 1.0

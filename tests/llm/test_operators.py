@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from severa.llm import toxicity
-from severa.llm.decontamination import decontaminate
+from severa.llm.decontamination import decontaminate, drop_contaminated
+from severa.llm.jaccard_join import jaccard_join
 from severa.llm.quality_rules import quality_rules
 from severa.llm.source_mix import fit, mix_sources
 from severa.llm.substring_dedup import dedup_substrings
-from severa.llm.token_counts import count_tokens, read_cache
+from severa.llm.token_counts import count_tokens, read_cache, splits_at_space
 from severa.llm.url_filters import filter_urls, intervals, lookup_keys
 from severa.llm.warc_revisits import canonical_url, resolve_revisits
 
@@ -71,6 +72,8 @@ def test_decontamination_edges(spark, docs):
     out = Counter((r.doc.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontaminate(docs, items).collect())
     assert out == Counter({(1, 0, 0, (), False): 1, (2, 0, 0, (), False): 1, (3, 0, 0, (), False): 1, (4, 3, 3, ("10",), True): 1, (5, 40_000, 0, (), False): 1, (6, 3, 3, ("10",), True): 2, (6, 3, 1, ("14",), True): 1, (None, 2, 2, (), True): 1, (8, 6, 6, ("11",), True): 1})
     assert decontaminate(docs.limit(0), items).count() == 0
+    kept = drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 5])
     assert decontaminate(docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
@@ -163,7 +166,7 @@ def brute_quality(text):
 
 
 def test_quality_counts(spark, docs):
-    extra = spark.createDataFrame([(20 + i, t, "en", "a") for i, t in enumerate(["a b a b a b c", "x\ny\n\nx\n x\n \n \n", "#1 <b> a|b & c", "e\x1cf\x85g h", "a a a a", "l\r\nl\r\nm"])], "doc_id long, text string, lang string, source string")
+    extra = spark.createDataFrame([(20 + i, t, "en", "a") for i, t in enumerate(["a b a b a b c", "x\ny\n\nx\n x\n \n \n", "#1 <b> a|b & c", "e\x1cf\x85g h", "a a a a", "l\r\nl\r\nm", "foo bar \x85", "x \n\x85", "\x85 foo bar", "foo \u2028", "\u2028\u2029 x y \u2029", " \u2029\nfoo\n\u2029", "\u2028", " \x85 ", "a b c \x85\na b c \x85"])], "doc_id long, text string, lang string, source string")
     for table in (docs, extra):
         texts = Counter((r.doc_id, *brute_quality(r.text)) for r in table.collect())
         got = quality_rules(table).collect()
@@ -203,6 +206,61 @@ def test_token_counts(spark, docs, tmp_path):
     assert count_tokens(docs.limit(0), file, cache).count() == 0
 
 
+def test_one_encoding_a_text(spark, tmp_path):
+    """Copies with null and repeated ids are encoded and appended once, as are texts known to the cache."""
+    from public_tokenizers import path
+
+    rows = [(None, "same text")] * 200 + [(7, t) for t in ("one", "two") for _ in range(50)] + [(None, None)] * 3 + [(8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    cache = f"file://{tmp_path}/cache"
+    for more in (0, 1):
+        table = docs.union(spark.createDataFrame([(9, "fresh")] * more, "doc_id long, text string")) if more else docs
+        assert count_tokens(table, path("word_bpe_49k.json"), cache).count() == len(rows) + more
+        assert spark.read.parquet(cache).count() == 4 + more
+
+
+def test_tokenizers_that_join_words_get_whole_texts(spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    file = path("byte_bpe_50k.json")
+    assert splits_at_space(path("word_bpe_49k.json")) and not splits_at_space(file)
+    whole = Tokenizer.from_file(file)
+    texts = ["two  words", " lead", "a\nb\n\nc", "", "x " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc.doc_id: r.n_tokens for r in count_tokens(docs, file, f"file://{tmp_path}/c").collect()}
+    assert got == {i: len(whole.encode(t, add_special_tokens=False)) for i, t in enumerate(texts)}
+
+
+def test_ids_of_other_types_and_extreme_ones(spark):
+    top = 2**63 - 1
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(top, base), (None, base), (None, base + " x"), (None, "other words"), (-(2**63), base)]
+    longs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc.doc_id, r.n_removed) for r in dedup_substrings(longs, 20).collect()}
+    assert got == {(-(2**63), 0), (top, 40), (None, 40), (None, 0)}
+    links = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join(longs).collect())
+    assert links == Counter({(top, -(2**63), 3): 1, (None, -(2**63), 3): 2, (None, None, 0): 1, (-(2**63), -(2**63), 3): 1})
+    named = spark.createDataFrame([("a", base), ("b", base), ("c", "other words"), (None, base)], "doc_id string, text string")
+    classes = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(named).collect()}
+    assert classes["a"] == classes["b"] and classes["a"][0] in "ab" and classes[None] == (classes["a"][0], 2) and classes["c"] == ("c", 0)
+    assert sorted(r.n_removed for r in dedup_substrings(named, 20).collect()) == [0, 0, 40, 40]
+    small = spark.createDataFrame([(1, "x"), (2, None)], "doc_id int, text string")
+    assert {type(r.doc_id) for r in jaccard_join(small).collect()} == {int} and jaccard_join(small).schema["class_id"].dataType.simpleString() == "int"
+
+
+def test_very_long_urls_headers_and_ties(spark):
+    long = "http://e.com/" + "a/" * 3000 + "?q=" + "x" * 20_000
+    entries = spark.createDataFrame([("l", "e.com/" + "a/" * 2999, "add", "2024-01-01")], "list string, pattern string, action string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    captures = spark.createDataFrame([(long, "2024-01-02"), (long, "2023-12-31")], "url string, fetched string").withColumn("fetched", F.col("fetched").cast("timestamp"))
+    assert sorted(r.blocked for r in filter_urls(captures, entries).collect()) == [False, True]
+    big = {"etag": '"a"', "x": "y" * 100_000}
+    rows = [(1, long, "2024-01-01", "response", 200, big, "d"), (1, long, "2024-01-01", "response", 200, big, "d"), (2, long, "2024-01-02", "revisit", 304, {"etag": '"a"'}, None)]
+    table = spark.createDataFrame(rows, "capture_id long, url string, fetched string, kind string, status int, headers map<string,string>, digest string").withColumn("fetched", F.col("fetched").cast("timestamp"))
+    got = Counter((r.capture.capture_id, r.verdict, r.ref_id, len(r.headers["x"])) for r in resolve_revisits(table).collect())
+    assert got == Counter({(1, "response", None, 100_000): 2, (2, "resolved", 1, 100_000): 1})
+
+
 def test_canonical_urls(spark):
     pairs = [("HTTP://WWW.Ex.com:80/a/?utm_source=f&x=1#top", "ex.com/a?x=1"), ("https://ex.com/a", "ex.com/a"), ("https://ex.com", "ex.com"), ("ex.com/?ref=x", "ex.com"), ("http://m.ex.com/A.html", "m.ex.com/A.html"), (None, None)]
     rows = spark.createDataFrame(pairs, "url string, want string").select("want", canonical_url(F.col("url")).alias("got")).collect()

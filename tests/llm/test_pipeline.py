@@ -5,7 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from severa.staging import stage
+from severa.staging import stage, staged_since
 
 from test_jaccard_join import brute
 
@@ -36,6 +36,9 @@ def test_toxicity(spark, steps):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in steps[1]}
     assert all(d in kept for d, toxic in labels.items() if not toxic)
+    toxic = [d for d, t in labels.items() if t]
+    assert len([d for d in toxic if d in kept]) <= len(toxic) / 2  # a hundred labels teach little
+    assert {r["doc_id"] for r in steps[0]} - kept  # what is not labelled is judged too
 
 
 def test_near_copies(steps):
@@ -84,8 +87,32 @@ def test_mix(steps):
 
 
 def test_stages_on_odd_rows(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "x y z", "en", None, 5), (4, "w " * 30_000, "en", "a", 60_000)]
+    """What each stage keeps of null, empty, repeated, nameless and very long rows; nothing of an empty table."""
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "x y z", "en", None, 5), (4, "w " * 30_000, "en", "a", 60_000), (5, "x y z", "en", "b", 5)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for table in (odd, odd.limit(0)):
-        for name, function in corpus_pipeline.STAGES:
-            function(spark, table, SF).collect()
+    want = {
+        "toxicity": [None, 1, 2, 2, 4, 5],
+        "near copies": [1, 2, 4, 5],  # a repeated row stays once, and of the copies the one with an id
+        "repeated passages": [None, 1, 2, 2, 4, 5],
+        "decontamination": [None, 1, 2, 2, 4, 5],
+    }
+    for name, function in corpus_pipeline.STAGES:
+        out = function(spark, odd, SF)
+        ids = sorted((r.doc_id for r in out.collect()), key=lambda d: -1 if d is None else d)
+        if name in want:
+            assert ids == want[name] and out.columns == odd.columns, name
+        else:
+            assert set(ids) <= {None, 4, 5} and all(r.taken == r["size"] * r.copies > 0 for r in out.collect())
+        if name == "repeated passages":
+            texts = {r.doc_id: r.text for r in out.collect()}
+            assert texts[1] is None and texts[2] == "" and texts[None] == texts[5] == "x y z" and texts[4] == "w"
+        assert function(spark, odd.limit(0), SF).count() == 0
+
+
+def test_stages_drop_what_they_staged(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    first = stage(corpus_pipeline.remove_contaminated(spark, docs, SF), "test")
+    left = list(corpus_pipeline._LEFT)
+    assert left and set(left) <= set(staged_since())
+    corpus_pipeline.remove_repeated_passages(spark, first, SF).count()
+    assert not set(left) & set(staged_since())

@@ -77,16 +77,43 @@ def brier_ipcw(rows: DataFrame, tau: float, floor: float = 0.05) -> DataFrame:
     return rows.join(g, "time").join(F.broadcast(at_tau)).agg(F.avg(loss).alias("brier"))
 
 
-def promotion(new: dict, old: dict | None, least_gain: float = 0.0, most_ece: float = 0.05, least_rows: int = 1000) -> list[str]:
-    """Reasons not to promote a model; none if it may go live."""
-    out = []
-    if new["rows"] < least_rows:
-        out.append("too few rows")
-    if new["ece"] > most_ece:
-        out.append("badly calibrated")
-    if old and new["average_precision"] < old["average_precision"] + least_gain:
-        out.append("no better than the live model")
-    return out
+def promotion_reasons(rows: Column, ece: Column, precision: Column, live: float | None = None, least_rows: int = 1000, most_ece: float = 0.05, least_gain: float = 0.0) -> Column:
+    """Reasons not to promote a model, from its metrics; none if it may go live."""
+    better = F.lit(True) if live is None else precision >= live + least_gain
+    return F.array_compact(F.array(F.when(rows < least_rows, "too few rows"), F.when(ece > most_ece, "badly calibrated"), F.when(~better, "no better than the live model")))
+
+
+def precision_by_slice(rows: DataFrame, slice_: str, score: str, label: str) -> DataFrame:
+    """slice, n, average_precision (of distinct scores) and base rate of every slice."""
+    cells = rows.groupBy(slice_, score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
+    whole = Window.partitionBy(slice_)
+    down = whole.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    curve = cells.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down), "pos": F.sum("p").over(whole)})
+    return curve.groupBy(slice_).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("p") / F.col("pos") * F.col("tp") / F.col("k")), 9).alias("average_precision"), F.round(F.sum("p") / F.sum("n"), 9).alias("base"))
+
+
+def rolling_backtest(rows: DataFrame, bucket: str, start: str, label: str, horizon: int, years: range) -> DataFrame:
+    """fold, n, brier, base: each year's rows judged by the rates of their bucket among rows that were known by its first
+    day, their horizon having passed. Counts by bucket and year of knowledge are taken once and summed over years."""
+    known = F.year(F.date_add(F.col(start), horizon))
+    counts = rows.groupBy(bucket, known.alias("known")).agg(F.sum(label).alias("hits"), F.count("*").alias("n"))
+    folds = counts.withColumn("fold", F.explode(F.array(*map(F.lit, years)))).where(F.col("known") < F.col("fold"))
+    rates = folds.groupBy("fold", bucket).agg((F.sum("hits") / F.sum("n")).alias("risk"))
+    judged = rows.withColumn("fold", F.year(start)).join(F.broadcast(rates), ["fold", bucket])
+    return judged.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("risk") - F.col(label), 2)), 8).alias("brier"), F.round(F.avg(label), 8).alias("base"))
+
+
+def cross_fitted(rows: DataFrame, features: tuple[str, ...], label: str, group: str, folds: int) -> DataFrame:
+    """Adds score, of a model fitted on the other folds and calibrated on them by Platt's scaling; a group is never in two
+    folds."""
+    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds))).withColumn("label", F.col(label).cast("double"))
+    out = None
+    for f in range(folds):
+        rest, own = dealt.where(F.col("_fold") != f), dealt.where(F.col("_fold") == f)
+        model = fit(rest, "logreg", features)
+        scored = calibrate(predict(model, rest, features), predict(model, own, features))
+        out = scored if out is None else out.unionByName(scored)
+    return out.drop("_fold")
 
 
 def _uno(rows: pa.Table) -> pa.Table:

@@ -33,3 +33,19 @@ def zip_codes(text: Column) -> Column:
 def first_date(text: Column) -> Column:
     found = F.regexp_extract(text, r"((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4})", 1)
     return F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("MMMM d, yyyy")).cast("date")
+
+
+def occupations(text: Column, total: Column) -> Column:
+    """Lines 'title  count' of a letter as an array of (title, n), if their counts add up to the letter's total; else empty.
+    A title is followed by two blanks or more, or by a tab."""
+    line = r"(?m)^\s*([A-Za-z][^\n\t]*?)(?:\t| {2,})\s*(\d{1,5})\s*$"
+    titles, counts = (F.regexp_extract_all(text, F.lit(line), F.lit(i)) for i in (1, 2))
+    rows = F.transform(F.arrays_zip(titles.alias("t"), counts.alias("n")), lambda r: F.struct(F.trim(r["t"]).alias("title"), r["n"].cast("long").alias("n")))
+    whole = F.aggregate(rows, F.lit(0).cast("long"), lambda a, r: a + r["n"])
+    return F.when(whole == total, rows).otherwise(F.array().cast("array<struct<title:string,n:bigint>>"))
+
+
+def labelled_count(text: Column) -> Column:
+    """The number after a form's label for affected workers, or null."""
+    label = rf"(?i)(?:total )?number (?:of )?affected(?: workers| employees)?\s*:\s*{_NUMBER}\b"
+    return F.regexp_replace(F.regexp_extract(text, label, 1), ",", "").try_cast("bigint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import tarfile
 import zipfile
@@ -184,6 +185,23 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in body.iter(f"{space}p"))
 
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """files (state, path, content) -> state, path, row (map<string,string>), each file by its state's parser."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(s, p, row) for s, p, c in zip(batch["state"], batch["path"], batch["content"], strict=True) for row in parser_of(s)(bytes(c))]
+            yield pd.DataFrame(rows, columns=["state", "path", "row"])
+
+    return files.select("state", "path", "content").mapInPandas(run, "state string, path string, row map<string,string>")
+
+
+def read_trimmed(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """A delimited file by its headers in lower case without the blanks around them; values are trimmed too."""
+    rows = spark.read.option("header", True).option("sep", separator).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return rows.select(*[F.trim(F.col(f"`{c}`")).alias(c.strip().lower()) for c in rows.columns])
+
+
 def read_files(spark: SparkSession, path: str, state: str) -> DataFrame:
     """Files of a state through its registered parser: path, row."""
     parse = parser_of(state)
@@ -203,3 +221,8 @@ def _workbook(content: bytes) -> list[dict]:
 @parser("AL")
 def _page(content: bytes) -> list[dict]:
     return [row for t in html_tables(content.decode("utf-8", "replace")) for row in table_rows(t)]
+
+
+@parser("KY")
+def _delimited(content: bytes) -> list[dict]:
+    return table_rows(list(csv.reader(io.StringIO(content.decode("utf-8-sig", "replace")))))

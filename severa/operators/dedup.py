@@ -30,8 +30,9 @@ CASES = (
 
 
 def supersession_pairs(notices: DataFrame) -> DataFrame:
-    """All pairs by case: key, case, o_id, k_id. All pairs share state, normalised employer and date, an equi-join."""
-    rows = notices.where("notice_date is not null").withColumn("key", F.concat_ws("|", "state", F.lower(F.trim("employer")), F.col("notice_date").cast("string")))
+    """All pairs by case: key, case, o_id, k_id. All pairs share state, normalised employer and date, an equi-join; rows that
+    lack one of them pair with nothing."""
+    rows = notices.where("notice_date is not null and state is not null and employer is not null").withColumn("key", F.concat_ws("|", "state", F.lower(F.trim("employer")), F.col("notice_date").cast("string")))
     # Only keys with two rows or more can make a pair. Both sides of the self-join then share one exchange by key.
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     pairs = rows.alias("o").join(rows.alias("k"), F.expr("o.key = k.key AND o.notice_id <> k.notice_id"))

@@ -39,8 +39,8 @@ def logit(p: Column) -> Column:
 
 def calibrate(rows: DataFrame, scored: DataFrame) -> DataFrame:
     """Platt's scaling learnt on `rows` (score, label) and applied to `scored`."""
-    assembler = VectorAssembler(inputCols=["logit"], outputCol="x")
-    model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=50).fit(assembler.transform(rows.withColumn("logit", logit(F.col("score")))))
+    assembler = VectorAssembler(inputCols=["_logit"], outputCol="_logits")
+    model = LogisticRegression(featuresCol="_logits", labelCol="label", maxIter=50).fit(assembler.transform(rows.withColumn("_logit", logit(F.col("score")))))
     a, b = float(model.coefficients[0]), float(model.intercept)
     return scored.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * logit(F.col("score")) + b))))
 

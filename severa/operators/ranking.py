@@ -19,6 +19,17 @@ def row_numbers(rows: DataFrame, order: list[Column], name: str = "row_number")
     return ranged.join(offsets, "_range").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_range", "_before")
 
 
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each name, the sum of its column over the rows up to this one in the order, which has no ties. Rows are
+    dealt out by ranges of it, as in `row_numbers`."""
+    ranged = stage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    offsets = F.broadcast(whole.select("_range", *[F.coalesce(F.sum(f"_{n}").over(upto), F.lit(0)).alias(f"_{n}") for n in sums]))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(offsets, "_range").withColumns({n: F.col(f"_{n}") + F.sum(c).over(inside) for n, c in sums.items()}).drop("_range", *[f"_{n}" for n in sums])
+
+
 def equal_bins(rows: DataFrame, order: list[Column], bins: int, name: str = "bin") -> DataFrame:
     """Adds the bin, from 1, of equally many rows in the order; the first bins take one of the rows left over each."""
     numbered = row_numbers(rows, order, "_i")

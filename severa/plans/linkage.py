@@ -51,7 +51,7 @@ def date_ranges(spark, sf):
     n = notices(spark, sf).where("notice_date is not null")
     r = n.groupBy("employer").agg(F.min("notice_date").alias("ra"), F.max("notice_date").alias("rb"))
     s = n.where("year(notice_date) = 1998").groupBy("state").agg(F.min("notice_date").alias("sa"), F.max("notice_date").alias("sb"))
-    rows = r.withColumn("state", F.concat(F.lit("S"), F.lpad((F.length("employer") % 25).cast("string"), 2, "0"))).join(F.broadcast(s), "state")
+    rows = r.withColumn("state", F.concat(F.lit("S"), F.lpad((F.length("employer") % 25).cast("string"), 2, "0"))).join(s, "state")
     both = F.datediff(F.least("rb", "sb"), F.greatest("ra", "sa"))
     return rows.select("employer", "state", (F.greatest(F.lit(0), both + 1) / (F.least(F.datediff("rb", "ra"), F.datediff("sb", "sa")) + 1)).alias("overlap"), F.round(F.log1p(F.greatest(F.lit(0), -both)), 8).alias("gap_log"))
 
@@ -72,7 +72,7 @@ def blocks(spark, sf):
 def profiles(spark, sf):
     place = locations(spark, sf).select("location_id", "city", "zip")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    rows = active(notices(spark, sf)).where("company_id is not null").join(F.broadcast(place), "location_id")
+    rows = active(notices(spark, sf)).where("company_id is not null").join(place, "location_id")
     return rows.groupBy("company_id").agg(F.count("*").alias("n_notices"), F.coalesce(F.sum("layoff_count"), F.lit(0)).alias("layoffs"), joined("state").alias("states"), joined("city").alias("cities"), F.count_distinct("zip").alias("zips"), F.min("notice_date").alias("first"), F.max("notice_date").alias("last"))
 
 
@@ -145,9 +145,5 @@ def gold_sample(spark, sf):
 @query("knn_embeddings", "WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT q, vec_id AS other, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS cosine FROM q, embeddings WHERE vec_id <> q) SELECT q, other, cosine FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, other) AS i FROM d) WHERE i <= 10")
 def knn_embeddings(spark, sf):
     """The ten nearest vectors of every fiftieth one, which is a stated query set, against all."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    e = e.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    d = e.join(F.broadcast(asked), F.expr("vec_id <> q")).select("q", F.col("vec_id").alias("other"), F.round(dot / (F.col("norm") * F.col("qn")), 6).alias("cosine"))
-    return d.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "other"))).where("i <= 10").drop("i")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return lk.vector_neighbours(e, F.col("id") % 50 == 0)

@@ -27,7 +27,7 @@ def industry_join(spark, sf):
 @query("jn05_export", f"{NCL} SELECT notice_id, employer, c.name AS company, l.city, l.county, l.zip, layoff_count FROM notices n LEFT JOIN companies c USING (company_id) LEFT JOIN locations l USING (location_id) WHERE NOT is_superseded")
 def export(spark, sf):
     rows = filters.active(notices(spark, sf)).join(companies(spark, sf).select("company_id", F.col("name").alias("company")), "company_id", "left")
-    return rows.join(F.broadcast(locations(spark, sf).select("location_id", "city", "county", "zip")), "location_id", "left").select("notice_id", "employer", "company", "city", "county", "zip", "layoff_count")
+    return rows.join(locations(spark, sf).select("location_id", "city", "county", "zip"), "location_id", "left").select("notice_id", "employer", "company", "city", "county", "zip", "layoff_count")
 
 
 @query("jn06_warehouse_rows", f"{NCL} SELECT notice_id, n.company_id, k.company_id AS canonical_id, CASE WHEN k.enriched THEN k.name END AS canonical_name, CASE WHEN k.enriched AND (k.confidence IS NULL OR k.confidence >= 1) THEN k.naics_code END AS naics, l.county FROM notices n JOIN companies c USING (company_id) JOIN companies k ON k.company_id = coalesce(c.canonical_company_id, c.company_id) LEFT JOIN locations l USING (location_id)")
@@ -37,13 +37,13 @@ def warehouse_rows(spark, sf):
     good = F.col("confidence").isNull() | (F.col("confidence") >= 1)
     of = c.select(F.col("company_id").alias("canonical_id"), F.when(F.col("enriched"), F.col("name")).alias("canonical_name"), F.when(F.col("enriched") & good, F.col("naics_code")).alias("naics"))
     rows = notices(spark, sf).select("notice_id", "company_id", "location_id").join(canon, "company_id").join(of, "canonical_id")
-    return rows.join(F.broadcast(locations(spark, sf).select("location_id", "county")), "location_id", "left").select("notice_id", "company_id", "canonical_id", "canonical_name", "naics", "county")
+    return rows.join(locations(spark, sf).select("location_id", "county"), "location_id", "left").select("notice_id", "company_id", "canonical_id", "canonical_name", "naics", "county")
 
 
 def _versions(spark, sf):
     """Notices with a place whose ZIP or city some versions lack, on the keys that several notices share."""
     place = locations(spark, sf).select("location_id", "city")
-    rows = notices(spark, sf).join(F.broadcast(place), "location_id")
+    rows = notices(spark, sf).join(place, "location_id")
     k = F.col("notice_id") % 5
     return rows.select("notice_id", "state", "employer", "notice_date", "layoff_count", "scraped_at", "address", F.when(k != 0, F.lit("Town")).alias("city"), F.when(k > 1, F.lit("10001")).alias("zip"), "location_id").dropDuplicates(["notice_id"])
 

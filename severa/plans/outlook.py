@@ -48,6 +48,13 @@ def _state_trends(spark, sf):
     return ol.trends(usable, "state")
 
 
+@query("ml03_trend_fits")
+def trend_fits(spark, sf):
+    """The quasi-Poisson trend of each order priority's months, each a short series."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("count"))
+    return ol.trends(o, "priority")
+
+
 @query("ml06_state_trends")
 def state_trends(spark, sf):
     """Tested on usable months, with q-values over states and shrunken slopes."""

@@ -42,7 +42,7 @@ def closure_split(spark, sf):
 def county_windows(spark, sf):
     """The most cited spelling names the county."""
     place = locations(spark, sf).where("county is not null").select("location_id", F.lower(text.county_name(F.col("county"))).alias("key"), F.col("county").alias("label"))
-    rows = counted(notices(spark, sf), after=LOW, before=AS_OF).join(F.broadcast(place), "location_id")
+    rows = counted(notices(spark, sf), after=LOW, before=AS_OF).join(place, "location_id")
     two = {n: WINDOWS[n] for n in ("cur", "prior")}
     votes = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
     sums = timeline.window_totals(rows, two, [F.col("key")])
@@ -210,7 +210,7 @@ def page(spark, sf):
 @query("top03_map_pins", f"{NL} SELECT notice_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, notice_date FROM notices JOIN locations USING (location_id) WHERE NOT is_superseded AND lat IS NOT NULL ORDER BY notice_date DESC NULLS LAST, notice_id LIMIT 50000")
 def map_pins(spark, sf):
     place = locations(spark, sf).where("lat is not null").select("location_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    rows = filters.active(notices(spark, sf)).select("notice_id", "location_id", "notice_date").join(F.broadcast(place), "location_id")
+    rows = filters.active(notices(spark, sf)).select("notice_id", "location_id", "notice_date").join(place, "location_id")
     return rows.orderBy(F.desc_nulls_last("notice_date"), "notice_id").limit(50_000).select("notice_id", "lat", "lon", "notice_date")
 
 
@@ -280,4 +280,4 @@ def heat_level(spark, sf):
 @query("cli04_state_bubbles", f"{NL} SELECT l.state, count(*) AS n, round(sum(lat) / count(lat), 6) AS lat, round(sum(lon) / count(lon), 6) AS lon FROM notices n JOIN locations l USING (location_id) WHERE NOT is_superseded AND lat IS NOT NULL GROUP BY 1")
 def state_bubbles(spark, sf):
     place = locations(spark, sf).where("lat is not null").select("location_id", F.col("state").alias("s"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    return filters.active(notices(spark, sf)).join(F.broadcast(place), "location_id").groupBy(F.col("s").alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return filters.active(notices(spark, sf)).join(place, "location_id").groupBy(F.col("s").alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))

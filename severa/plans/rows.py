@@ -62,7 +62,7 @@ def zip_from(spark, sf):
 @query("prj08_notice_key", f"""{NL} SELECT n.notice_id, left(sha256(concat_ws('|', upper(n.state), lower(trim(employer)), coalesce(CAST(notice_date AS VARCHAR), ''), coalesce(lower(city), ''), coalesce(zip, ''))), 32) AS key FROM notices n JOIN locations l USING (location_id)""")
 def notice_key(spark, sf):
     place = locations(spark, sf).select("location_id", "city", "zip")
-    rows = notices(spark, sf).join(F.broadcast(place), "location_id")
+    rows = notices(spark, sf).join(place, "location_id")
     return rows.select("notice_id", text.notice_key(F.col("state"), F.col("employer"), F.col("notice_date"), F.col("city"), F.col("zip")).alias("key"))
 
 
@@ -126,7 +126,7 @@ def geocode_tiers(spark, sf):
     loc = locations(spark, sf)
     zips = loc.where("zip is not null and location_id % 3 <> 0").groupBy("zip").agg(F.avg("lat").cast("double").alias("zlat"))
     cities = loc.where("location_id % 2 = 0").groupBy("state").agg(F.avg("lat").cast("double").alias("clat"))
-    rows = loc.join(F.broadcast(zips), "zip", "left").join(F.broadcast(cities), "state", "left")
+    rows = loc.join(zips, "zip", "left").join(cities, "state", "left")
     tiers = [("zip", "zlat"), ("city", "clat")]
     first = F.coalesce(*[F.when(F.col(c).between(26, 40), F.struct(F.lit(s).alias("source"), F.col(c).alias("lat"))) for s, c in tiers])
     return rows.select("location_id", first["source"].alias("source"), first["lat"].alias("lat"))

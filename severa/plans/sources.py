@@ -98,7 +98,7 @@ def letter_fields(spark, sf):
 def county_jobs(spark, sf):
     """The first positive count of each county in the source's order."""
     e = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("i"), F.concat(F.lit("S"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("state"), F.round("s_acctbal").cast("long").alias("emp"))
-    return e.join(F.broadcast(locations(spark, sf).select("state")), "state").groupBy("state").agg(F.min_by("emp", "i").alias("jobs"))
+    return e.join(locations(spark, sf).select("state"), "state").groupBy("state").agg(F.min_by("emp", "i").alias("jobs"))
 
 
 @query("dim04_staffing", "WITH p AS (SELECT p_brand AS sector, p_type AS occ, count(*) AS n FROM part GROUP BY ALL), s AS (SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY sector), 4) AS pct FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY pct DESC, occ) AS i FROM s) SELECT sector, string_agg(occ, ',' ORDER BY i) AS top, count(*) AS n FROM r WHERE i <= 4 AND pct >= 0.5 GROUP BY 1")
@@ -152,7 +152,7 @@ def monthly_mean(spark, sf):
 @query("cli03_bounding_box", f"{NL} SELECT state, CAST(min(lat) AS DOUBLE) AS south, CAST(max(lat) AS DOUBLE) AS north, CAST(min(lon) AS DOUBLE) AS west, CAST(max(lon) AS DOUBLE) AS east FROM (SELECT n.state, l.lat, l.lon FROM notices n JOIN locations l USING (location_id) WHERE NOT is_superseded) GROUP BY 1")
 def bounding_box(spark, sf):
     place = locations(spark, sf).select("location_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    return active(notices(spark, sf)).join(F.broadcast(place), "location_id").groupBy("state").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+    return active(notices(spark, sf)).join(place, "location_id").groupBy("state").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
 
 
 @query("fn21_states_reporting", f"{N}, s AS (SELECT state, min(notice_date) AS start FROM notices WHERE {COUNTED} AND location_id = 3 GROUP BY 1), y AS (SELECT unnest(range(1995, 2002)) AS y) SELECT y AS year, count(s.state) AS states FROM y LEFT JOIN s ON year(start) <= y GROUP BY 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from severa.functions import naics, text
 from severa.operators import filters, timeline
 from severa.operators.filters import counted, totals
+from severa.operators.ranking import row_numbers
 from severa.plans.adapter import NC, NCL, NL, RUNS, N, companies, locations, notices, runs, table, with_
 from severa.plans.registry import query
 
@@ -149,7 +150,7 @@ def county_impact(spark, sf):
     """Workers as a share of a county's jobs over 365 days, by the worksite's state."""
     jobs = table(spark, sf, "nation").where("n_nationkey % 9 <> 4").select(F.concat(F.lit("S"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("state"), (1000 + F.col("n_nationkey") * 111).cast("long").alias("employment_base"))
     place = locations(spark, sf).where("county is not null").select("location_id", "state", text.county_name(F.col("county")).alias("county"))
-    rows = counted(notices(spark, sf), after=AS_OF - datetime.timedelta(365)).drop("state").join(F.broadcast(place), "location_id").groupBy("state", "county").agg(*totals())
+    rows = counted(notices(spark, sf), after=AS_OF - datetime.timedelta(365)).drop("state").join(place, "location_id").groupBy("state", "county").agg(*totals())
     return rows.where("layoff_total >= 10").join(jobs, "state").withColumn("impact_pct", F.bround(F.col("layoff_total") / F.col("employment_base") * 100, 3))
 
 
@@ -158,7 +159,7 @@ _PLACE = f"""{NL}, p AS (SELECT round(lat, 4) AS la, round(lon, 4) AS lo, l.city
 
 def _placed(rows, spark, sf):
     spots = locations(spark, sf).where("lat is not null and lon is not null").select("location_id", F.round("lat", 4).cast("double").alias("lat"), F.round("lon", 4).cast("double").alias("lon"), "city", F.col("state").alias("loc_state"))
-    return rows.join(F.broadcast(spots), "location_id")
+    return rows.join(spots, "location_id")
 
 
 @query("agg12_map_places", f"{_PLACE} SELECT CAST(la AS DOUBLE) AS lat, CAST(lo AS DOUBLE) AS lon, min(city) || ', ' || min(loc_state) AS label, {TOTALS} FROM p GROUP BY la, lo")
@@ -173,8 +174,8 @@ def _cells(spark, sf):
     """Sparse place x month cells; places are numbered by position over the few distinct points, not over notices."""
     rows = _placed(counted(notices(spark, sf)).where("notice_date is not null"), spark, sf)
     cells = rows.groupBy("lat", "lon", F.date_format("notice_date", "yyyy-MM").alias("month")).agg(*totals())
-    index = cells.select("lat", "lon").distinct().withColumn("place", F.row_number().over(Window.orderBy("lat", "lon")) - 1)
-    return cells.join(F.broadcast(index), ["lat", "lon"])
+    index = row_numbers(cells.select("lat", "lon").distinct(), [F.col("lat"), F.col("lon")], "number")
+    return cells.join(index, ["lat", "lon"]).withColumn("place", F.col("number") - 1).drop("number")
 
 
 @query("agg13_place_months", f"{_CELLS} SELECT place, month, {TOTALS} FROM c GROUP BY ALL")
@@ -275,7 +276,7 @@ def usage_per_key(spark, sf):
 
 @query("agg28_page_totals", f"{NL} SELECT count(*) AS total FROM notices n JOIN locations l USING (location_id) WHERE NOT is_superseded AND employer ILIKE '%1%' AND layoff_count >= 20 AND lon BETWEEN -115 AND -90 AND lat BETWEEN 26 AND 40")
 def page_totals(spark, sf):
-    rows = notices(spark, sf).join(F.broadcast(locations(spark, sf).select("location_id", "lat", "lon")), "location_id")
+    rows = notices(spark, sf).join(locations(spark, sf).select("location_id", "lat", "lon"), "location_id")
     return filters.listed(rows, employer="1", min_layoffs=20, bbox=(-115, 26, -90, 40)).agg(F.count("*").alias("total"))
 
 
@@ -285,6 +286,6 @@ _TREE = f"{NCL}, x AS (SELECT l.state AS site_state, count(*) AS n FROM notices
 @query("cli01_state_share", f"{_TREE} SELECT site_state, n AS notice_count, round_even(n / sum(n) OVER () * 100, 2) AS share, row_number() OVER (ORDER BY n DESC, site_state) AS rank FROM x")
 def state_share(spark, sf):
     place = locations(spark, sf).select("location_id", F.col("state").alias("site_state"))
-    rows = counted(notices(spark, sf)).join(F.broadcast(place), "location_id").join(companies(spark, sf).select("company_id"), "company_id").groupBy("site_state").agg(F.count("*").alias("notice_count"))
+    rows = counted(notices(spark, sf)).join(place, "location_id").join(companies(spark, sf).select("company_id"), "company_id").groupBy("site_state").agg(F.count("*").alias("notice_count"))
     share = F.bround(F.col("notice_count") / F.sum("notice_count").over(Window.partitionBy()) * 100, 2)
     return rows.select("site_state", "notice_count", share.alias("share"), F.row_number().over(Window.orderBy(F.desc("notice_count"), "site_state")).alias("rank"))

@@ -369,3 +369,71 @@ def test_name_tokens(spark):
     assert one(spark, names.is_unsearchable(key("the company"))) and not one(spark, names.is_unsearchable(key("harbor")))
     assert one(spark, names.match_is_consistent(key("harbor foods"), key("foods international"))) and not one(spark, names.match_is_consistent(key("harbor"), key("tower")))
     assert one(spark, names.alternative_queries(key("Harbor Foods, Inc. dba Corner Shop"))) == ["Corner Shop", "Harbor Foods"]
+
+
+def test_trend_same_as_spark_glm(spark):
+    """The fitted slope against Spark's own Poisson regression, with an offset, and its error without serial correlation."""
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    rnd = random.Random(8)
+    names_of, exposure = months(48), [50.0 + i % 7 for i in range(48)]
+    counts = [poisson(rnd, exposure[i] / 5 * 1.2 ** (i / 12) * (1 + (i % 12) / 20)) for i in range(48)]
+    got = outlook.fit_trend(counts, names_of, offset=exposure)
+    rows = [(float(y), i / 12, float(np.log(e)), *[float(i % 12 == m) for m in range(1, 12)]) for i, (y, e) in enumerate(zip(counts, exposure, strict=True))]
+    columns = ["y", "trend", "log_exposure", *(f"m{m}" for m in range(1, 12))]
+    table = VectorAssembler(inputCols=["trend", *columns[3:]], outputCol="x").transform(spark.createDataFrame(rows, columns))
+    model = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol="y", offsetCol="log_exposure", maxIter=50, tol=1e-10).fit(table)
+    assert got["coef"] == pytest.approx(float(model.coefficients[0]), abs=1e-6)
+    fitted = np.array([r.prediction for r in model.transform(table).orderBy("trend").collect()])
+    pearson = (np.array(counts) - fitted) / np.sqrt(fitted)
+    scale = float((pearson**2).sum()) / (48 - 13) * outlook.variance_factor(pearson)
+    assert got["se"] == pytest.approx(model.summary.coefficientStandardErrors[0] * math.sqrt(scale), rel=1e-4)
+    assert got["p"] < 0.05
+
+
+def test_variance_factor():
+    import numpy as np
+
+    assert outlook.variance_factor(np.zeros(30)) == 1.0
+    assert outlook.variance_factor(np.array([1.0, -1.0] * 20)) == pytest.approx((1 + 1 / 40) / (1 - 1 / 40))  # negative counts as none
+    assert outlook.variance_factor(np.arange(100.0)) == pytest.approx(19.0)  # at most 0.9
+
+
+def test_running_sums_and_vector_neighbours(spark):
+    import numpy as np
+
+    from severa.operators.ranking import running_sums
+
+    rows = spark.createDataFrame([(i, i * i % 13) for i in range(500)], "i int, v int").repartition(7)
+    got = {r.i: r.s for r in running_sums(rows, [F.desc("i")], {"s": "v"}).collect()}
+    assert got == {i: sum(j * j % 13 for j in range(i, 500)) for i in range(500)}
+    rnd = np.random.default_rng(4)
+    v = np.round(rnd.normal(size=(300, 6)), 1)
+    v[7] = v[3]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    near = linkage.vector_neighbours(table, F.col("id") % 10 == 0, k=4, block=37).collect()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    cosine = np.round(unit @ unit.T, 6)
+    for q in range(0, 300, 10):
+        want = sorted((-cosine[q, d], d) for d in range(300) if d != q)[:4]
+        assert sorted((-r.cosine, r.other) for r in near if r.q == q) == [(pytest.approx(c), d) for c, d in want]
+
+
+def test_promotion_and_tiers(spark):
+    from severa.operators import models
+
+    reasons = models.promotion_reasons(F.lit(10), F.lit(0.2), F.lit(0.5), live=0.6)
+    assert one(spark, reasons) == ["too few rows", "badly calibrated", "no better than the live model"]
+    assert one(spark, models.promotion_reasons(F.lit(5000), F.lit(0.01), F.lit(0.5))) == []
+    assert one(spark, models.tier(F.lit(0.6), {"high": 0.9, "elevated": 0.5}, "baseline")) == "elevated"
+    assert one(spark, models.strict_json(F.lit(float("inf")).alias("a"), F.lit(None).cast("int").alias("b"))) == '{"a":null,"b":null}'
+
+
+def test_cross_fit_never_sees_its_group(spark):
+    from severa.operators import models
+
+    rows = spark.createDataFrame([(f"g{i % 20}", float(i % 3), float(i % 3 == 0)) for i in range(400)], "g string, x double, y double")
+    out = models.cross_fitted(rows, ("x",), "y", "g", 4).collect()
+    assert len(out) == 400 and sum((r.score >= 0.5) == (r.y == 1.0) for r in out) >= 380

@@ -89,7 +89,7 @@ def _reach(lengths: np.ndarray, free: np.ndarray, rest: int) -> tuple[np.ndarray
     return more, rest - total * unit
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, last_words: int = LAST_WORDS) -> np.ndarray:
     """How many of counts[i] documents of lengths[i] words to take so that their words come as near below the budget as
     the programme finds: the nearest possible if the budget is at most GRID units. Lengths are distinct, ascending and
     positive."""
@@ -97,7 +97,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= total:
         return counts.copy()
     share = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
-    best, gap, back, room = np.zeros_like(counts), budget, 0, LAST_WORDS
+    best, gap, back, room = np.zeros_like(counts), budget, 0, last_words
     while gap > 0:
         take = np.maximum(share - back, 0)
         rest = budget - int((lengths * take).sum())
@@ -125,16 +125,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return best
 
 
-def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
-    """The counts by length of one source -> with take."""
-    rows = rows.sort_values("size")
-    budget = float(rows["target"].iloc[0]) - float(rows["passes"].iloc[0]) * float(rows["source_size"].iloc[0])
-    return rows.assign(take=fit(rows["size"].to_numpy(), rows["n"].to_numpy(), max(0, round(budget))))[["source", "size", "take"]]
+def _fit_source(last_words: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The counts by length of one source -> with take."""
+        rows = rows.sort_values("size")
+        budget = float(rows["target"].iloc[0]) - float(rows["passes"].iloc[0]) * float(rows["source_size"].iloc[0])
+        return rows.assign(take=fit(rows["size"].to_numpy(), rows["n"].to_numpy(), max(0, round(budget)), last_words))[["source", "size", "take"]]
 
+    return run
 
-def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
+
+def mix_sources(docs: DataFrame, seed: int = 17, last_words: int = LAST_WORDS) -> DataFrame:
     """documents (doc_id, text, source, any others) -> doc (a struct of the columns but text), size (words), source_size,
-    target, copies (0 to 3) and taken (size * copies).
+    target, copies (0 to 3) and taken (size * copies). The knapsack programme fits the last `last_words` of a budget, and
+    more of it where that leaves words open.
 
     Sources in code-point order, null last, weigh 5, 2, 1 and again; their targets share all sizes. A null or empty text
     has size 0 and is taken no times. Ties between documents of one length fall by a hash of seed and doc_id; rows alike
@@ -150,7 +154,7 @@ def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
     same = lambda a, b, *more: [F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")), *[F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in more]]
     plan = lengths.alias("l").join(sources.alias("s"), same("l", "s")).select("l.source", "l.size", "l.n", "s.source_size", "s.target", "s.passes")
     # One row for each length of a source: at most as many as its longest text has words.
-    takes = plan.groupBy("source").applyInPandas(_fit_source, "source string, size long, take long")
+    takes = plan.groupBy("source").applyInPandas(_fit_source(last_words), "source string, size long, take long")
     running = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(running), F.lit(0))
     quota = stage(

@@ -29,12 +29,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where("on = 1 and (until is null or until > at)").select("list", "pattern", F.col("at").alias("since"), "until")
 
 
-def lookup_keys(url: Column) -> Column:
-    """All suffixes of the host, from whole labels, and the host with every prefix of the path that ends in a slash."""
+def lookup_keys(url: Column, labels_at_least: int = 1) -> Column:
+    """The host, all its suffixes of so many whole labels or more, and the host with every prefix of the path that ends in a
+    slash."""
     bare = F.lower(F.regexp_replace(F.regexp_replace(F.trim(url), "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", ""))
     host = F.regexp_replace(F.regexp_extract(bare, "^([^/]*)", 1), ":[0-9]+$", "")
     labels = F.split(host, "[.]")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - (labels_at_least - 1), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.split(F.regexp_extract(bare, "^[^/]*(/.*)?$", 1), "/")
     paths = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     return F.array_distinct(F.concat(hosts, F.when(F.size(parts) > 1, paths).otherwise(F.array().cast("array<string>"))))
@@ -49,7 +50,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rows = stage(captures.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("capture")), "captures")
     spans = stage(intervals(entries), "intervals")
     small = spans.count() <= BROADCAST_ROWS
-    asked = rows.where("capture.url is not null and capture.fetched is not null").select("row", F.col("capture.fetched").alias("fetched"), F.explode(lookup_keys(F.col("capture.url"))).alias("pattern"))
+    # Where no pattern is a single label, no capture asks for "com": a key that they would all share.
+    least = 2 if spans.where("pattern not like '%.%' and pattern not like '%/%'").isEmpty() else 1
+    asked = rows.where("capture.url is not null and capture.fetched is not null").select("row", F.col("capture.fetched").alias("fetched"), F.explode(lookup_keys(F.col("capture.url"), least)).alias("pattern"))
     met = asked.join(F.broadcast(spans) if small else spans, "pattern").where("fetched >= since and (until is null or fetched < until)")
     found = met.groupBy("row").agg(F.count("*").alias("n_active"), F.array_sort(F.collect_set("list")).alias("lists"))
     out = rows.join(found, "row", "left")

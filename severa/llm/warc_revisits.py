@@ -35,7 +35,7 @@ def resolve_revisits(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED
     names, digest, any others) -> capture (a struct of all the columns), url_key, verdict, ref_id, headers, digest.
 
     A full response is one with status 200 and a digest. A revisit takes the latest full response of its canonical URL
-    that was fetched earlier (at the same moment, with a smaller capture_id) and nothing before it:
+    that was fetched earlier (at the same moment, with a smaller capture_id, then digest, then headers) and nothing before it:
     'resolved' if the strong parts of both ETags agree, or, where one has none, both Last-Modified, or else both digests;
     'mismatch' if the first of these that both have differs; 'unvalidated' if they share none; 'no_response' without an
     earlier one. Resolved headers are the response's, with the permitted ones of the revisit put in. Responses have
@@ -47,11 +47,12 @@ def resolve_revisits(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED
     rows = rows.withColumn("full", F.when(full, stored))
     unknown = from_rows.where("c.fetched is null or c.url is null").select("c", F.lit(None).cast("string").alias("url_key"), F.lit(None).cast(rows.schema["full"].dataType).alias("ref"))
 
-    order = F.struct("c.fetched", "c.capture_id")
+    rows = rows.withColumn("tie", F.coalesce(F.concat_ws("|", F.col("c.digest").cast("string"), header_text(F.col("c.headers"))), F.lit("")))
+    order = F.struct("c.fetched", "c.capture_id", "tie")
     blocks = rows.groupBy("url_key", "block").agg(F.max_by("full", F.when(F.col("full").isNotNull(), order)).alias("last"))
     earlier = Window.partitionBy("url_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select("url_key", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    inside = Window.partitionBy("url_key", "block").orderBy("c.fetched", "c.capture_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("url_key", "block").orderBy("c.fetched", "c.capture_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last("full", ignorenulls=True).over(inside))
     met = near.join(carried, ["url_key", "block"], "left").select("c", "url_key", F.coalesce("near", "carried").alias("ref"))
 

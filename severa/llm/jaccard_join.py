@@ -281,14 +281,27 @@ def _blocks(size: Column) -> Column:
 
 
 def _in_blocks(members: DataFrame, verify) -> DataFrame:
-    """members (key, blocks, id, ...) -> what `verify` finds in every pair of each key's blocks."""
-    rest = [c for c in members.columns if c not in ("key", "blocks")]
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    spread = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *rest)
+    """members (key, own, upto, id, ...), each in block `own` of its key and to meet the blocks below `upto` -> what `verify`
+    finds in every pair of blocks."""
+    rest = [c for c in members.columns if c not in ("key", "own", "upto")]
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)))
+    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own").alias("block"), *rest)
     return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(verify, _FOUND)
 
 
+def _mixed(of_class: DataFrame) -> DataFrame:
+    """(node, id, class) -> the members of nodes of several classes, dealt into blocks: node, id, class, own, upto. The sets
+    of a node's largest class have blocks of their own, which need not meet one another."""
+    per = of_class.groupBy("node", "class").agg(F.count("*").alias("n"))
+    nodes = per.groupBy("node").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("every")).where("classes > 1")
+    nodes = nodes.select("node", F.col("top.class").alias("main"), _blocks(F.col("top.n")).alias("large"), _blocks(F.col("every") - F.col("top.n")).alias("rest"))
+    deal = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    of_main = F.col("class") == F.col("main")
+    own = F.when(of_main, F.col("rest") + deal("large")).otherwise(deal("rest"))
+    upto = F.when(of_main, F.col("rest")).otherwise(F.col("rest") + F.col("large"))
+    return of_class.join(nodes, "node").select("node", "id", "class", own.alias("own"), upto.alias("upto"))
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, longest: int = 8, target: float = 0.9999) -> DataFrame:
     """documents (doc_id, text, any others) -> a row for each: k, occ (its key), doc_id, class_id, n_links, first.
 
@@ -339,16 +352,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int
     classes = stage(connected_components(starred, "id", "hub").select(F.col("node").alias("id"), F.col("root").alias("class")), "classes")
 
     # 2. All pairs of a class.
-    sizes = classes.groupBy("class").agg(_blocks(F.count("*")).alias("blocks"))
-    inside = classes.join(sizes, "class").join(grams.select("id", "copies", "grams"), "id").select(F.col("class").alias("key"), "blocks", "id", "class", "copies", "grams")
+    sizes = classes.groupBy("class").agg(_blocks(F.count("*")).alias("upto"))
+    own = F.pmod(F.xxhash64("id"), F.col("upto")).cast("int").alias("own")
+    inside = classes.join(sizes, "class").join(grams.select("id", "copies", "grams"), "id").select(F.col("class").alias("key"), own, "upto", "id", "class", "copies", "grams")
     found = [stage(_in_blocks(inside, _verify(threshold, [], None)), "links")]
 
     # 3. Pairs of different classes, with ever shorter prefixes.
     for i, at in enumerate(met):
         of_class = at.select("node", "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        mixed = of_class.groupBy("node").agg(F.min("class").alias("a"), F.max("class").alias("b"), _blocks(F.count("*")).alias("blocks")).where("a <> b")
-        own = grams.select("id", "copies", *nodes[: i + 1], "grams")
-        across = of_class.join(mixed, "node").join(own, "id").select(F.col("node").alias("key"), "blocks", "id", "class", "copies", *nodes[: i + 1], "grams")
+        carried = grams.select("id", "copies", *nodes[: i + 1], "grams")
+        across = _mixed(of_class).join(carried, "id").select(F.col("node").alias("key"), "own", "upto", "id", "class", "copies", *nodes[: i + 1], "grams")
         found.append(stage(_in_blocks(across, _verify(threshold, nodes[:i], nodes[i])), "links"))
 
     drop_staged(grams, pairs, classes, *met)

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import keyed, small_batches, text_of
 
-#: Bytes of text whose windows make one group: some 2.6 million of them, of which a task holds the hashes.
-GROUP_BYTES = 16 << 20
-#: Windows that a task combines and packs at once. At 1 TB of text, 62,500 groups, a packed row still holds 32 windows.
+#: Bytes of text whose windows make one group: some 1.3 million of them, of which a task holds the hashes.
+GROUP_BYTES = 8 << 20
+#: Windows that a task combines and packs at once. At 1 TB of text, 125,000 groups, a packed row still holds 16 windows.
 FLUSH = 2_000_000
 
 

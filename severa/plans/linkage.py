@@ -81,14 +81,15 @@ def _pairs(spark, sf):
     return lk.block_pairs(c, "company_id", "key")
 
 
-#: 1 for one unique id, 0 for two different ones, of the pairs that carry it.
-_label = F.when(F.col("x.unique_id") == F.col("y.unique_id"), 1).when(F.col("x.unique_id").isNotNull() & F.col("y.unique_id").isNotNull(), 0)
+# 1 for one unique id, 0 for two different ones, of the pairs that carry it.
+def _label():
+    return F.when(F.col("x.unique_id") == F.col("y.unique_id"), 1).when(F.col("x.unique_id").isNotNull() & F.col("y.unique_id").isNotNull(), 0)
 
 
 @query("ml27_weak_labels", f"{with_(COMPANIES)} SELECT a.company_id AS a, b.company_id AS b, CASE WHEN a.unique_id = b.unique_id THEN 1 WHEN a.unique_id IS NOT NULL AND b.unique_id IS NOT NULL THEN 0 END AS label FROM companies a JOIN companies b ON a.parent_group_key = b.parent_group_key AND a.company_id < b.company_id")
 def weak_labels(spark, sf):
     c = companies(spark, sf)
-    return lk.key_pairs(c, "company_id", "parent_group_key", "unique_id").select("a", "b", _label.alias("label"))
+    return lk.key_pairs(c, "company_id", "parent_group_key", "unique_id").select("a", "b", _label().alias("label"))
 
 
 @query("ml26_pair_features", f"{NC}, st AS (SELECT company_id, list_distinct(list(state)) AS states, count(*) AS n FROM notices WHERE company_id IS NOT NULL GROUP BY 1) SELECT a.company_id AS a, b.company_id AS b, round(len(list_intersect(x.states, y.states)) / (len(x.states) + len(y.states) - len(list_intersect(x.states, y.states))), 8) AS state_jaccard, round(ln(1 + least(x.n, y.n)), 8) AS least_log, CAST(coalesce(a.website = b.website, false) AS INT) AS same_site FROM companies a JOIN companies b ON a.unique_id = b.unique_id AND a.company_id < b.company_id JOIN st x ON x.company_id = a.company_id JOIN st y ON y.company_id = b.company_id")
@@ -105,7 +106,7 @@ def pair_features(spark, sf):
 def clusters(spark, sf):
     """Average linkage over pairs scored by their names' similarity; one unique id is a must-link, two are a cannot-link."""
     pairs = lk.key_pairs(companies(spark, sf), "company_id", "parent_group_key", "name", "unique_id")
-    scored = pairs.select("a", "b", lk.name_similarity("x.name", "y.name").alias("score"), F.when(_label == 1, 1).when(_label == 0, -1).alias("link"))
+    scored = pairs.select("a", "b", lk.name_similarity("x.name", "y.name").alias("score"), F.when(_label() == 1, 1).when(_label == 0, -1).alias("link"))
     return lk.cluster_pairs(scored, 0.97, 0.9)
 
 

@@ -106,7 +106,7 @@ def pair_features(spark, sf):
 def clusters(spark, sf):
     """Average linkage over pairs scored by their names' similarity; one unique id is a must-link, two are a cannot-link."""
     pairs = lk.key_pairs(companies(spark, sf), "company_id", "parent_group_key", "name", "unique_id")
-    scored = pairs.select("a", "b", lk.name_similarity("x.name", "y.name").alias("score"), F.when(_label() == 1, 1).when(_label == 0, -1).alias("link"))
+    scored = pairs.select("a", "b", lk.name_similarity("x.name", "y.name").alias("score"), F.when(_label() == 1, 1).when(_label() == 0, -1).alias("link"))
     return lk.cluster_pairs(scored, 0.97, 0.9)
 
 

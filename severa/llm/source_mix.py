@@ -32,7 +32,8 @@ BUCKETS = 1024
 def targets(sources: DataFrame) -> DataFrame:
     """(source, source_size) -> with target: all sizes shared by weight, a target ending at three times its source's size.
 
-    The shares that result from resharing the excess again and again are least(3 * size, level * weight) for one level.
+    A row for each source, some millions at the most, is one task's. The shares that result from resharing the excess again
+    and again are least(3 * size, level * weight) for one level.
     In the order of size / weight the capped sources come first, so the level follows from running sums over sources."""
     ranked = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.row_number().over(ranked) - 1, F.lit(len(WEIGHTS))) + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from severa.functions import names, text
 from severa.functions.naics import if_trusted
-from severa.operators import dedup, events as ev, filters, linkage, models, places, timeline, validate
+from severa.operators import dedup, events as ev, filters, linkage, models, places, staffing, timeline, validate
 from severa.operators.filters import counted, totals
 from severa.plans.adapter import COMPANIES, LOCATIONS, NC, NL, RUNS, N, companies, locations, notices, runs, table, with_
 from severa.plans.events import _DUR, _EV, _events, coverage_mask, event_dataset, person_periods as _person_periods
@@ -473,3 +473,52 @@ def industry_choice(spark, sf):
     sic = F.when(F.col("company_id") % 2 == 0, (1000 + F.col("company_id") % 900).cast("string"))
     c = companies(spark, sf).withColumn("sic", sic)
     return c.select("company_id", F.coalesce("naics_code", "sic").alias("code"), F.when(F.col("naics_code").isNotNull(), "NAICS").when(F.col("sic").isNotNull(), "SIC").alias("kind"))
+
+
+# --- occupations and crosswalks --------------------------------------------------------------------------------------
+
+_PATTERNS = """pj AS (SELECT lpad(CAST(p_size AS VARCHAR), 2, '0') AS key, p_brand AS occupation, sum(p_partkey % 17 + 1) AS jobs FROM part GROUP BY ALL),
+  pp AS (SELECT *, round_even(jobs / sum(jobs) OVER (PARTITION BY key) * 100, 1) AS pct FROM pj), pr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pct DESC, occupation) AS i FROM pp)"""
+_MIX = f"""{N}, {_PATTERNS}, ok AS (SELECT DISTINCT key FROM pr WHERE i <= 12 AND pct >= 0.5 AND key < '40'),
+  nn AS (SELECT DISTINCT notice_id, layoff_count, naics_code, right(naics_code, 2) AS key, effective_date FROM notices WHERE NOT is_superseded)"""
+
+
+def _mix(spark, sf):
+    """Active notices with what they filed (a quarter of them one occupation) or what their code's parts suggest."""
+    part = table(spark, sf, "part")
+    jobs = part.select(F.lpad(F.col("p_size").cast("string"), 2, "0").alias("key"), F.col("p_brand").alias("occupation"), (F.col("p_partkey") % 17 + 1).alias("jobs"))
+    patterns = staffing.staffing_patterns(jobs).where("key < '40'")
+    rows = filters.active(notices(spark, sf)).select("notice_id", "layoff_count", "naics_code", "effective_date").distinct()
+    brand = part.select(F.col("p_partkey").alias("pk"), F.col("p_brand").alias("occupation"))
+    filed = rows.where("notice_id % 4 = 0").withColumn("pk", F.expr("notice_id div 100000 % 100000")).join(brand, "pk")
+    filed = filed.groupBy("notice_id").agg(F.collect_set(F.struct("occupation", F.col("layoff_count").alias("n"))).alias("occupations"))
+    return staffing.occupation_mix(rows, filed, patterns, F.right("naics_code", F.lit(2)))
+
+
+@query("rad01_occupation_preview", f"""{_MIX}, tp AS (SELECT key, pct, occupation, i FROM pr WHERE i <= 3 AND pct >= 0.5 AND key < '40'),
+  ty AS (SELECT n.notice_id, n.layoff_count, string_agg(occupation || coalesce(':' || CASE WHEN n.layoff_count > 0 THEN CAST(round_even(n.layoff_count * pct / 100, 0) AS BIGINT) END, ''), ',' ORDER BY i) AS p FROM nn n JOIN tp USING (key) GROUP BY ALL)
+  SELECT n.notice_id, n.layoff_count, effective_date - DATE '2001-01-01' AS days_until, CASE WHEN n.notice_id % 4 = 0 THEN 'filed' ELSE 'typical' END AS source,
+    CASE WHEN n.notice_id % 4 = 0 THEN p_brand || coalesce(':' || n.layoff_count, '') ELSE ty.p END AS preview
+  FROM nn n JOIN part ON p_partkey = n.notice_id // 100000 % 100000 LEFT JOIN ty ON ty.notice_id = n.notice_id AND ty.layoff_count IS NOT DISTINCT FROM n.layoff_count
+  WHERE effective_date >= DATE '2001-01-01' AND (n.notice_id % 4 = 0 OR ty.p IS NOT NULL)""")
+def occupation_preview(spark, sf):
+    """Coming separations with their three largest occupations."""
+    rows = _mix(spark, sf).where((F.col("effective_date") >= F.lit(D(2001, 1, 1))) & F.col("source").isNotNull())
+    shown = F.transform(F.slice("mix", 1, 3), lambda x: F.concat_ws(":", x["occupation"], x["workers"].cast("string")))
+    return rows.select("notice_id", "layoff_count", F.datediff("effective_date", F.lit(D(2001, 1, 1))).cast("long").alias("days_until"), "source", F.array_join(shown, ",").alias("preview"))
+
+
+@query("rad02_unavailable_mix", f"{_MIX} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN notice_id % 4 = 0 OR key IN (SELECT key FROM ok) THEN 'none' WHEN naics_code IS NULL THEN 'no_naics' ELSE 'no_pattern' END AS reason FROM nn) GROUP BY 1")
+def unavailable_mix(spark, sf):
+    """Why notices have no occupations to show."""
+    return _mix(spark, sf).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+_SIC_SQL = " ".join(f"WHEN sic BETWEEN {a} AND {b} THEN '{s}'" for a, b, s in staffing.SIC_RANGES)
+
+
+@query("dim08_voted_crosswalk", f"{with_(COMPANIES)}, c AS (SELECT CAST(100 + company_id * 37 % 9900 AS INT) // 50 * 50 AS sic, naics_code AS naics FROM companies), v AS (SELECT sic, naics, count(*) AS n FROM c WHERE naics IS NOT NULL GROUP BY ALL), b AS (SELECT sic, arg_min(naics, struct_pack(a := -n, b := naics)) AS naics FROM v GROUP BY 1) SELECT d.sic, coalesce(b.naics, CASE {_SIC_SQL.replace('sic', 'd.sic')} END) AS naics, b.naics IS NOT NULL AS exact FROM (SELECT DISTINCT sic FROM c) d LEFT JOIN b USING (sic)")
+def voted_crosswalk(spark, sf):
+    """Codes of the old scheme by what companies of both schemes have, else by the range they lie in."""
+    c = companies(spark, sf).select(F.expr("cast(100 + company_id * 37 % 9900 as int) div 50 * 50").cast("int").alias("sic"), F.col("naics_code").alias("naics"))
+    return staffing.to_naics(c.select("sic"), staffing.crosswalk(c), spark)

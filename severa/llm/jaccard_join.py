@@ -291,14 +291,14 @@ def _in_blocks(members: DataFrame, verify) -> DataFrame:
 
 def _mixed(of_class: DataFrame) -> DataFrame:
     """(node, id, class) -> the members of nodes of several classes, dealt into blocks: node, id, class, own, upto. The sets
-    of a node's largest class have blocks of their own, which need not meet one another."""
+    of a node's largest class have blocks of their own, which need not meet one another; a small node is one block."""
     per = of_class.groupBy("node", "class").agg(F.count("*").alias("n"))
     nodes = per.groupBy("node").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("every")).where("classes > 1")
-    nodes = nodes.select("node", F.col("top.class").alias("main"), _blocks(F.col("top.n")).alias("large"), _blocks(F.col("every") - F.col("top.n")).alias("rest"))
+    nodes = nodes.select("node", "every", F.col("top.class").alias("main"), _blocks(F.col("top.n")).alias("large"), _blocks(F.col("every") - F.col("top.n")).alias("rest"))
     deal = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-    of_main = F.col("class") == F.col("main")
-    own = F.when(of_main, F.col("rest") + deal("large")).otherwise(deal("rest"))
-    upto = F.when(of_main, F.col("rest")).otherwise(F.col("rest") + F.col("large"))
+    of_main, one = F.col("class") == F.col("main"), F.col("every") <= BLOCK
+    own = F.when(one, 0).when(of_main, F.col("rest") + deal("large")).otherwise(deal("rest"))
+    upto = F.when(one, 1).when(of_main, F.col("rest")).otherwise(F.col("rest") + F.col("large"))
     return of_class.join(nodes, "node").select("node", "id", "class", own.alias("own"), upto.alias("upto"))
 
 

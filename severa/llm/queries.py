@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from severa.staging import shared_dir
 
 from . import toxicity
+from .centroid_clustering import cluster_vectors
 from .decontamination import decontaminate
+from .hard_negatives import mine
 from .jaccard_join import jaccard_join
 from .license_scan import scan_licenses
 from .quality_rules import quality_rules
@@ -18,6 +20,7 @@ from .source_mix import mix_sources
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
 from .url_filters import filter_urls
+from .vector_search import nearest
 from .warc_revisits import header_text, resolve_revisits
 
 
@@ -258,6 +261,55 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(files).select("file.doc_id", "file.path", "own", "cosine", "inherited", "from_dir", "license")
 
 
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty largest inner products of every twentieth vector, among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty centroids, five rounds, over all vectors of 64 components."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, seed=2)
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+_INTEGERS = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    """Every round in full: distances to all centroids, the nearest, and the floors of the means."""
+    ctes = [
+        f"v AS MATERIALIZED (SELECT vec_id, {_INTEGERS} AS v FROM embeddings WHERE len(embedding) = 64 AND {_USABLE})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM v QUALIFY c < 40)",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"""d{i} AS MATERIALIZED (SELECT v.vec_id, v.v, c, CAST(list_sum(list_transform(list_zip(v.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{i}),
+a{i} AS MATERIALIZED (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if i < rounds:
+            ctes.append(f"""s{i} AS (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""WITH {", ".join(ctes)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has its label moved on by one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_INTEGERS} AS v FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -265,5 +317,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_source_mix, op3_toxicity, op4_warc_revisits, op5_url_filters, op6_substring_dedup, op7_jaccard_join, op8_quality_rules, op9_token_counts, op10_license_scan)}
-ORACLES = {"op1_decontamination": OP1, "op4_warc_revisits": OP4, "op5_url_filters": OP5, "op6_substring_dedup": OP6, "op8_quality_rules": OP8}
+QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_source_mix, op3_toxicity, op4_warc_revisits, op5_url_filters, op6_substring_dedup, op7_jaccard_join, op8_quality_rules, op9_token_counts, op10_license_scan, op11_vector_search, op12_centroid_clustering, op13_hard_negatives)}
+ORACLES = {"op1_decontamination": OP1, "op4_warc_revisits": OP4, "op5_url_filters": OP5, "op6_substring_dedup": OP6, "op8_quality_rules": OP8, "op12_centroid_clustering": _op12_sql(), "op13_hard_negatives": OP13}

@@ -1,6 +1,8 @@
-"""Rabin-Karp prefix hashes over bytes, words and windows of words, vectorised over a batch of texts.
+"""Hashes of words, and Rabin-Karp hashes of windows of words, vectorised over a batch of texts.
 
-All arithmetic is modulo 2**64. With c[i] the sum of the first i terms t[j] * B**-j, a window from i of width w hashes to
+A word is the sum of a pseudo-random term for each byte and its place in the word, so that words of one letter pattern,
+such as Thue-Morse words, which collide in any polynomial modulo 2**64, differ like all others. Windows are polynomials in
+those word hashes, modulo 2**64: with c[i] the sum of the first i terms t[j] * B**-j, a window from i of width w hashes to
 (c[i + w] - c[i]) * B**i, whatever its place; B is odd and so has an inverse.
 """
 
@@ -53,6 +55,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+#: Places in a word whose terms are looked up; those of later ones are worked out.
+LOOKED_UP = 64
+_TERMS = Kept()
+
+
+def _term(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(((place.astype(U64) << U64(8)) | byte.astype(U64)) * U64(BASE) + U64(0x2545F4914F6CDD1D))
+
+
+def byte_terms(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each byte at each place of a word."""
+    if "table" not in _TERMS:
+        _TERMS["table"] = _term(np.repeat(np.arange(LOOKED_UP), 256), np.tile(np.arange(256), LOOKED_UP))
+    out = _TERMS["table"][(np.minimum(place, LOOKED_UP - 1) << 8) | data]
+    late = np.flatnonzero(place >= LOOKED_UP)
+    out[late] = _term(place[late], data[late])
+    return out
+
+
 def prefix(terms: np.ndarray) -> np.ndarray:
     out = np.zeros(len(terms) + 1, U64)
     np.cumsum(terms * powers(len(terms))[1][: len(terms)], out=out[1:])
@@ -87,8 +108,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before[inner] = True
     after[inner - 1] = True
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    sums = prefix(data.astype(U64) + U64(1))
-    hashes = mix((sums[end] - sums[start]) * powers(len(data))[0][start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    begins = np.zeros(len(data), np.int64)
+    begins[start] = start
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(byte_terms(data, np.arange(len(data)) - np.maximum.accumulate(begins)), out=sums[1:])
+    hashes = mix(sums[end] - sums[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
     return hashes, np.searchsorted(start, offsets)
 
 
@@ -101,3 +125,9 @@ def windows_of(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nda
     at = np.flatnonzero(np.arange(len(words)) + width <= text_end)
     sums = prefix(words)
     return mix((sums[at + width] - sums[at]) * powers(len(words))[0][at]), at
+
+
+def checks_of(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """24 more bits for the windows at these places, from another polynomial over other numbers for the words."""
+    sums = prefix(mix(words ^ U64(0xA0761D6478BD642F)))
+    return (mix((sums[at + width] - sums[at]) * powers(len(words))[0][at]) >> U64(40)).astype(np.uint32)

@@ -4,7 +4,7 @@ Every window of `width` words is hashed. A task combines the windows of some FLU
 earliest goes on, and the others are marked at once, so that a window of every document sends one place a flush. What goes
 on is dealt out by the value of the hash, many to a row, so that equal windows meet in one of many even groups, where all
 but the earliest are marked. Marks go back to their documents, again many to a row, and merge into maximal removal
-intervals. Windows are judged on the input. Words are told apart by 64-bit hashes of 64-bit word hashes.
+intervals. Windows are judged on the input. Words are told apart by 64-bit hashes, windows by 88 bits of two hashes.
 """
 
 from __future__ import annotations
@@ -67,6 +67,18 @@ def _batch(index: str, rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
 
+def _joined(hashes: np.ndarray, checks: np.ndarray) -> bytes:
+    return hashes.tobytes() + checks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _parted(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and the checks that `_joined` packed."""
+    n = len(packed) // 11
+    checks = np.zeros((n, 4), np.uint8)
+    checks[:, :3] = np.frombuffer(packed, np.uint8, offset=8 * n).reshape(n, 3)
+    return np.frombuffer(packed, np.uint64, n), checks.reshape(-1).view("<u4")
+
+
 def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
@@ -79,18 +91,19 @@ class _Held:
         self.occs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.hashes: list[np.ndarray] = []
+        self.checks: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, occs: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, occs: np.ndarray, counts: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
         """counts: windows of each document, whose hashes follow one another."""
-        for held, new in ((self.keys, keys), (self.occs, occs), (self.counts, counts), (self.hashes, hashes)):
+        for held, new in ((self.keys, keys), (self.occs, occs), (self.counts, counts), (self.hashes, hashes), (self.checks, checks)):
             held.append(new)
         self.size += len(hashes)
 
     def pack(self, parts: int) -> pa.RecordBatch:
         """Rows by part of the hash space: each window's earliest place. From `parts` on, rows by group of documents: the
         places of windows that are here and start earlier here."""
-        keys, occs, counts, hashes = (np.concatenate(x) for x in (self.keys, self.occs, self.counts, self.hashes))
+        keys, occs, counts, hashes, checks = (np.concatenate(x) for x in (self.keys, self.occs, self.counts, self.hashes, self.checks))
         # Documents in order; a row that repeats a document has its place.
         rank = np.lexsort((occs, keys))
         keys, occs = keys[rank], occs[rank]
@@ -98,17 +111,18 @@ class _Held:
         new[1:] = (keys[1:] != keys[:-1]) | (occs[1:] != occs[:-1])
         begin, counts = (np.cumsum(counts) - counts)[rank], counts[rank]
         pos = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        hashes = hashes[np.repeat(begin, counts) + pos]
+        hashes, checks = (x[np.repeat(begin, counts) + pos] for x in (hashes, checks))
         place = np.repeat(np.cumsum(new) - 1, counts)
         keys, occs = keys[new], occs[new]
-        # In this order the first of equal windows is the earliest.
+        # In this order the first of equal windows is the earliest. Where two windows share the hash and not the check, some
+        # that are equal may both go on; `_repeats` finds them.
         order = np.argsort(hashes, kind="stable")
         again = np.zeros(len(order), bool)
-        again[1:] = hashes[order][1:] == hashes[order][:-1]
+        again[1:] = (hashes[order][1:] == hashes[order][:-1]) & (checks[order][1:] == checks[order][:-1])
         first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
         late = np.sort(order[again & ((place[order] != place[first]) | (pos[order] != pos[first]))])
         keep = np.sort(order[~again])
-        rows = self._rows(_slot(hashes[keep], parts), keep, hashes, keys, occs, place, pos)
+        rows = self._rows(_slot(hashes[keep], parts), keep, (hashes, checks), keys, occs, place, pos)
         fresh = np.ones(len(late), bool)
         by_place = np.lexsort((pos[late], place[late]))
         late = late[by_place]
@@ -118,7 +132,7 @@ class _Held:
         return _batch("part", rows)
 
     @staticmethod
-    def _rows(part: np.ndarray, at: np.ndarray, hashes: np.ndarray | None, keys: np.ndarray, occs: np.ndarray, place: np.ndarray, pos: np.ndarray) -> list[list]:
+    def _rows(part: np.ndarray, at: np.ndarray, hashes: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, occs: np.ndarray, place: np.ndarray, pos: np.ndarray) -> list[list]:
         order = np.argsort(part, kind="stable")
         part, at = part[order], at[order]
         bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
@@ -127,7 +141,7 @@ class _Held:
             own = at[a:b]
             new = np.flatnonzero(np.diff(place[own], prepend=-1))
             ids = place[own[new]]
-            rows.append([int(part[a]), hashes[own].tobytes() if hashes is not None else b"", *_pack(keys[ids], occs[ids], new, pos[own])])
+            rows.append([int(part[a]), _joined(*(x[own] for x in hashes)) if hashes else b"", *_pack(keys[ids], occs[ids], new, pos[own])])
         return rows
 
 
@@ -140,8 +154,8 @@ def _deal(width: int, parts: int, flush: int):
             keys, occs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, data, offsets in hashing.texts_of(batch.column(2)):
                 words, first = hashing.words_of(data, offsets)
-                hashes, _ = hashing.windows_of(words, first, width)
-                held.add(keys[lo:hi], occs[lo:hi], np.maximum(np.diff(first) - width + 1, 0), hashes)
+                hashes, at = hashing.windows_of(words, first, width)
+                held.add(keys[lo:hi], occs[lo:hi], np.maximum(np.diff(first) - width + 1, 0), hashes, hashing.checks_of(words, at, width))
                 if held.size >= flush:
                     yield held.pack(parts)
                     held = _Held()
@@ -159,28 +173,28 @@ def _repeats(parts: int):
         if part >= parts:
             return table.drop_columns(["part", "hashes"]).add_column(0, "docs", pa.array([part - parts] * len(table), pa.int32()))
         packed = table.column("hashes").to_pylist()
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in packed])
+        h, c = map(np.concatenate, zip(*map(_parted, packed), strict=True))
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         rep = np.zeros(len(h), bool)
         rep[order[1:][same]] = rep[order[:-1][same]] = True
         # Only the places of windows that repeat are unpacked for good.
-        ends = np.cumsum([len(x) // 8 for x in packed])
+        ends = np.cumsum([len(x) // 11 for x in packed])
         found: list[tuple[np.ndarray, ...]] = []
         for i, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
             own = np.flatnonzero(rep[a:b])
             if len(own):
-                k, o, p = _unpack(*(table.column(c)[i].as_py() for c in ("keys", "occs", "counts", "gaps")))
-                found.append((h[a:b][own], k[own], o[own], p[own]))
+                k, o, p = _unpack(*(table.column(x)[i].as_py() for x in ("keys", "occs", "counts", "gaps")))
+                found.append((h[a:b][own], c[a:b][own], k[own], o[own], p[own]))
         empty = pa.schema([("docs", pa.int32()), *((c, pa.binary()) for c in ("keys", "occs", "counts", "gaps"))]).empty_table()
         if not found:
             return empty
-        h, k, o, p = map(np.concatenate, zip(*found, strict=True))
-        order = np.lexsort((p, o, k, h))
-        h, k, o, p = h[order], k[order], o[order], p[order]
+        h, c, k, o, p = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((p, o, k, c, h))
+        h, c, k, o, p = h[order], c[order], k[order], o[order], p[order]
         # A row that is an exact repeat of its doc_id's row has the same place: it is that place, not a later one.
         again = np.zeros(len(h), bool)
-        again[1:] = h[1:] == h[:-1]
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
         late = again & ~((k == k[first]) & (o == o[first]) & (p == p[first]))
         k, o, p = k[late], o[late], p[late]

@@ -4,6 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +298,35 @@ def test_url_filters(spark):
     assert filter_urls(captures.limit(0), entries).count() == 0 and filter_urls(captures, entries.limit(0)).where("blocked").count() == 0
     keys = spark.range(1).select(lookup_keys(F.lit("https://a.b.com:8080/x/y.html?q#f")).alias("k")).first().k
     assert set(keys) == {"a.b.com", "b.com", "com", "a.b.com/", "a.b.com/x/"}
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_thue_morse_letters_are_told_apart(spark, n):
+    """Any polynomial of the letters modulo 2**64 is the same for such a word and its complement."""
+    from severa.llm.license_scan import scan_licenses
+
+    one, rest = thue_morse(n), " ".join(f"w{i}" for i in range(19))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in dedup_substrings(docs).select("n_removed").collect()] == [0, 0]
+    words = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted((r.class_id, r.n_links) for r in jaccard_join(words).collect()) == [(1, 0), (2, 0)]
+    licence = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    files = spark.createDataFrame([(1, "r", "a/x", licence), (2, "r", "b/x", f"{one} {two}")], "doc_id long, repo string, path string, text string")
+    assert {r.doc_id: r.own for r in scan_licenses(files).select("file.doc_id", "own").collect()}[2] is None
+
+
+def test_windows_with_one_hash_and_two_checks(spark, monkeypatch):
+    """Equal hashes alone repeat nothing: here all windows have one hash, and the checks tell them apart."""
+    from severa.llm import hashing
+    from severa.llm.substring_dedup import _deal, _repeats, _unpack
+
+    monkeypatch.setattr(hashing, "windows_of", lambda words, first, width: (np.full(len(words) - width + 1, 7, np.uint64), np.arange(len(words) - width + 1)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array(["a b c d a b c e"])], names=["k", "occ", "text"])
+    dealt = pa.Table.from_batches(list(_deal(3, 1, 100)([batch])))
+    late = _repeats(1)(dealt.filter(pc.equal(dealt["part"], 0)))
+    assert [_unpack(*(late.column(c)[0].as_py() for c in ("keys", "occs", "counts", "gaps")))[2].tolist()] == [[4]]

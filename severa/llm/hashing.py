@@ -128,6 +128,6 @@ def windows_of(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nda
 
 
 def checks_of(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """24 more bits for the windows at these places, from another polynomial over other numbers for the words."""
+    """32 more bits for the windows at these places, from another polynomial over other numbers for the words."""
     sums = prefix(mix(words ^ U64(0xA0761D6478BD642F)))
-    return (mix((sums[at + width] - sums[at]) * powers(len(words))[0][at]) >> U64(40)).astype(np.uint32)
+    return (mix((sums[at + width] - sums[at]) * powers(len(words))[0][at]) >> U64(32))

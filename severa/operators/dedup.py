@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from severa.operators.ranking import row_numbers
+from severa.staging import drop_staged, stage
 
 
 def merge_worksites(rows: DataFrame, ordinal: Column) -> DataFrame:
@@ -42,11 +45,65 @@ def supersession_pairs(notices: DataFrame) -> DataFrame:
 
 def resolve_supersession(pairs: DataFrame) -> DataFrame:
     """Greedy over the cases of each key, ties by ids: a pair is skipped if either side has already gone. -> superseded_id,
-    by_id, case."""
-    found = pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("case", "o_id", "k_id"))).alias("pairs"))
-    start = F.struct(F.array().cast("array<bigint>").alias("gone"), F.array().cast(found.schema["pairs"].dataType.simpleString()).alias("kept"))
-    step = lambda s, p: F.when(F.array_contains(s["gone"], p["o_id"]) | F.array_contains(s["gone"], p["k_id"]), s).otherwise(F.struct(F.array_append(s["gone"], p["o_id"]).alias("gone"), F.array_append(s["kept"], p).alias("kept")))
-    return found.select(F.explode(F.aggregate("pairs", start, step)["kept"]).alias("p")).select(F.col("p.o_id").alias("superseded_id"), F.col("p.k_id").alias("by_id"), F.col("p.case").alias("case"))
+    by_id, case.
+
+    Rounds of joins: an open pair is taken if it is the least that takes its older side away and comes before the least that
+    would take the other side, as nothing before it can then touch either; pairs after one that took a side of theirs are
+    closed. The least open
+    pair of a key always qualifies, so rounds end, and chains of versions in the order of their ids need one. A row is a
+    pair throughout, and no key is gathered."""
+    rows = pairs.select("key", F.struct("case", "o_id", "k_id").alias("p"))
+    now, taken = stage(rows, "open"), []
+    while not now.isEmpty():
+        least = now.groupBy("key", F.col("p.o_id").alias("id")).agg(F.min("p").alias("m"))
+        own = least.select("key", F.col("m.k_id").alias("k_id"), "m")
+        other = least.select("key", F.col("id").alias("k_id"), F.col("m").alias("mk"))
+        took = stage(own.join(other, ["key", "k_id"], "left").where("mk is null or m < mk").select("key", "m"), "taken")
+        taken.append(took)
+        rest = now
+        for side in ("o_id", "k_id"):
+            gone = F.expr(f"n.key = g.key and n.p.{side} = g.m.o_id and g.m <= n.p")
+            rest = rest.alias("n").join(took.alias("g"), gone, "left_anti")
+        new = stage(rest, "open")
+        drop_staged(now)
+        now = new
+    drop_staged(now)
+    all_taken = reduce(DataFrame.unionByName, taken) if taken else rows.select("key", F.col("p").alias("m"))
+    return all_taken.select(F.col("m.o_id").alias("superseded_id"), F.col("m.k_id").alias("by_id"), F.col("m.case").alias("case"))
+
+
+def _by_least(rows: DataFrame, keys: list[str], old: Column, kept: Column, case: int) -> DataFrame:
+    """In every group the `old` rows give way to the smallest `kept` one. No row is both, so the case takes no kept row away
+    and a group needs no more than that smallest id."""
+    least = rows.where(kept).groupBy(*keys).agg(F.min("notice_id").alias("by_id")).alias("l")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    return rows.where(old).alias("r").join(least, same).select(F.col("r.notice_id").alias("superseded_id"), "by_id", F.lit(case).alias("case"))
+
+
+def supersede(notices: DataFrame) -> DataFrame:
+    """notices -> superseded_id, by_id, case: what `resolve_supersession` makes of all pairs, without making them all.
+
+    Cases come one after another. In three of them the older side lacks what the kept side has, so the smallest kept id of a
+    group decides. Only amended counts pair versions with one another, by rounds, among notices of one key, city and ZIP."""
+    need = ["notice_date", "state", "employer"]
+    rows = notices.dropna(subset=need).withColumn("key", F.concat_ws("|", "state", F.lower(F.trim("employer")), F.col("notice_date").cast("string")))
+    several = rows.groupBy("key").count().where("count > 1").select("key")
+    alive = stage(rows.join(several, "key").select("key", "notice_id", "city", "zip", "address", "layoff_count", "scraped_at"), "versions")
+    out = []
+
+    def settle(found: DataFrame) -> None:
+        nonlocal alive
+        out.append(found := stage(found, "superseded"))
+        alive = alive.join(found.select(F.col("superseded_id").alias("notice_id")), "notice_id", "left_anti")
+
+    c = F.col
+    settle(_by_least(alive.where("city is not null"), ["key", "city", "layoff_count"], c("zip").isNull(), c("zip").isNotNull(), 0))
+    o, k = alive.alias("o"), alive.alias("k")
+    amended = o.join(k, F.expr("o.key = k.key AND o.city = k.city AND o.zip <=> k.zip AND o.notice_id <> k.notice_id AND o.scraped_at < k.scraped_at AND NOT (o.layoff_count <=> k.layoff_count)"))
+    settle(resolve_supersession(amended.select("o.key", F.lit(1).alias("case"), c("o.notice_id").alias("o_id"), c("k.notice_id").alias("k_id"))))
+    settle(_by_least(alive.where("address is not null"), ["key", "address"], c("zip").isNull(), c("zip").isNotNull(), 2))
+    out.append(_by_least(alive, ["key", "layoff_count"], c("city").isNull(), c("city").isNotNull(), 3))
+    return reduce(DataFrame.unionByName, out)
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, fill: list[str], update: list[str]) -> DataFrame:

@@ -62,10 +62,10 @@ def acronyms(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "").alias("acronym"), F.array_join(F.regexp_extract_all(F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")), F.lit(r"\d+"), F.lit(0)), ",").alias("numbers"))
 
 
-@query("jn36_blocks", f"{NC}, k AS (SELECT DISTINCT company_id, state || ':' || substr(CAST(notice_date AS VARCHAR), 1, 10) AS key FROM notices WHERE company_id IS NOT NULL AND notice_date IS NOT NULL), s AS (SELECT key FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT DISTINCT a.company_id AS a, b.company_id AS b FROM k a JOIN s USING (key) JOIN k b ON b.key = a.key AND a.company_id < b.company_id")
+@query("jn36_blocks", f"{NC}, k AS (SELECT DISTINCT company_id, state || ':' || substr(CAST(notice_date AS VARCHAR), 1, 10) AS key FROM notices WHERE company_id IS NOT NULL AND notice_date IS NOT NULL) SELECT DISTINCT a.company_id AS a, b.company_id AS b FROM k a JOIN k b ON b.key = a.key AND a.company_id < b.company_id")
 def blocks(spark, sf):
     k = notices(spark, sf).where("company_id is not null and notice_date is not null").select("company_id", F.concat_ws(":", "state", F.col("notice_date").cast("string")).alias("key"))
-    return lk.block_pairs(k, "company_id", "key")
+    return lk.key_pairs(k, "company_id", "key").select("a", "b").distinct()
 
 
 @query("ml24_profiles", f"{NL} SELECT company_id, count(*) AS n_notices, CAST(coalesce(sum(layoff_count), 0) AS BIGINT) AS layoffs, string_agg(DISTINCT n.state, ',' ORDER BY n.state) AS states, string_agg(DISTINCT l.city, ',' ORDER BY l.city) AS cities, count(DISTINCT zip) AS zips, min(notice_date) AS first, max(notice_date) AS last FROM notices n JOIN locations l USING (location_id) WHERE NOT is_superseded AND company_id IS NOT NULL GROUP BY 1")
@@ -77,8 +77,8 @@ def profiles(spark, sf):
 
 
 def _pairs(spark, sf):
-    c = companies(spark, sf).select("company_id", F.concat_ws(":", "unique_id").alias("key"))
-    return lk.block_pairs(c, "company_id", "key")
+    c = companies(spark, sf).select("company_id", F.col("unique_id").alias("key"))
+    return lk.key_pairs(c, "company_id", "key").select("a", "b")
 
 
 # 1 for one unique id, 0 for two different ones, of the pairs that carry it.

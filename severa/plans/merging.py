@@ -69,7 +69,7 @@ def supersession_pairs(spark, sf):
     UNION ALL SELECT s.key, s.i, s.o_id, s.k_id, s."case", CASE WHEN list_contains(gone, s.o_id) OR list_contains(gone, s.k_id) THEN gone ELSE list_append(gone, s.o_id) END, NOT (list_contains(gone, s.o_id) OR list_contains(gone, s.k_id)) FROM r JOIN s ON s.key = r.key AND s.i = r.i + 1)
   SELECT o_id AS superseded_id, k_id AS by_id, "case" FROM r WHERE took""")
 def supersession(spark, sf):
-    return dedup.resolve_supersession(dedup.supersession_pairs(_versions(spark, sf)))
+    return dedup.supersede(_versions(spark, sf))
 
 
 @query("jn13_latest_runs", f"{with_(RUNS)} SELECT state, run_id, started_at, status FROM runs QUALIFY row_number() OVER (PARTITION BY state ORDER BY started_at DESC, run_id DESC) = 1")

@@ -229,11 +229,11 @@ def brier(spark, sf):
     return models.brier_ipcw(rows, 180).select(F.round("brier", 8).alias("brier"))
 
 
-@query("ml25_blocking_union", f"{with_(COMPANIES)}, k AS (SELECT company_id, 'u' || unique_id AS key FROM companies WHERE unique_id IS NOT NULL UNION SELECT company_id, 'w' || website FROM companies WHERE website IS NOT NULL), s AS (SELECT key FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100) SELECT DISTINCT a.company_id AS a, b.company_id AS b FROM k a JOIN s USING (key) JOIN k b ON b.key = a.key AND a.company_id < b.company_id")
+@query("ml25_blocking_union", f"{with_(COMPANIES)}, k AS (SELECT company_id, 'u' || unique_id AS key FROM companies WHERE unique_id IS NOT NULL UNION SELECT company_id, 'w' || website FROM companies WHERE website IS NOT NULL) SELECT DISTINCT a.company_id AS a, b.company_id AS b FROM k a JOIN k b ON b.key = a.key AND a.company_id < b.company_id")
 def blocking_union(spark, sf):
     c = companies(spark, sf)
     keys = c.select("company_id", F.concat(F.lit("u"), "unique_id").alias("key")).union(c.select("company_id", F.concat(F.lit("w"), "website")))
-    return linkage.block_pairs(keys, "company_id", "key")
+    return linkage.key_pairs(keys, "company_id", "key").select("a", "b").distinct()
 
 
 @query("ml25_blocking_families")

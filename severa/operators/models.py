@@ -11,6 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from severa.operators.graph import connected_components
+from severa.staging import stage
+
 FEATURES = ("day_notices", "day_states", "day_layoffs", "prior_notices_1y", "prior_notices_3y", "prior_events", "prior_layoffs", "prior_states", "days_since_prev", "state_notices_90d", "us_notices_90d", "state_days")
 
 
@@ -103,17 +106,38 @@ def rolling_backtest(rows: DataFrame, bucket: str, start: str, label: str, horiz
     return judged.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("risk") - F.col(label), 2)), 8).alias("brier"), F.round(F.avg(label), 8).alias("base"))
 
 
-def cross_fitted(rows: DataFrame, features: tuple[str, ...], label: str, group: str, folds: int) -> DataFrame:
-    """Adds score, of a model fitted on the other folds and calibrated on them by Platt's scaling; a group is never in two
-    folds."""
-    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds))).withColumn("label", F.col(label).cast("double"))
-    out = None
+def by_component(pairs: DataFrame, positive: Column, folds: int) -> DataFrame:
+    """pairs (a, b, any others) -> with component and fold: nodes that positive pairs join, directly or through others, are
+    one component; a pair belongs to that of its a, and a component to one fold."""
+    roots = connected_components(pairs.where(positive))
+    found = pairs.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("component", F.coalesce("root", "a")).drop("root")
+    return found.withColumn("fold", F.pmod(F.xxhash64("component"), F.lit(folds)).cast("int"))
+
+
+def cross_fitted(rows: DataFrame, features: tuple[str, ...], label: str, fold: str, folds: int, kind: str = "logreg") -> DataFrame:
+    """rows with a fold below `folds` -> with raw and score. Rows whose label is null teach nothing. Each fold's model is
+    fitted on the labelled rows of the others; a labelled row's raw score is that of the model that has not seen its fold,
+    any other's is the mean of all. One calibrator, Platt's scaling, is fitted on the raw scores of all labelled rows, which
+    are out of fold, and gives every row its score. A fold whose others hold one label only is an error."""
+    rows = stage(rows, "cross-fit")
+    known = rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
+    counts = {r[fold]: (r["n"], r["p"]) for r in known.groupBy(fold).agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()}
+    for f in range(folds):
+        n, p = (sum(c[i] for g, c in counts.items() if g != f) for i in (0, 1))
+        if not 0 < p < n:
+            raise ValueError(f"the folds beside fold {f} hold one label only")
+    out = rows
     for f in range(folds):
-        rest, own = dealt.where(F.col("_fold") != f), dealt.where(F.col("_fold") == f)
-        model = fit(rest, "logreg", features)
-        scored = calibrate(predict(model, rest, features), predict(model, own, features))
-        out = scored if out is None else out.unionByName(scored)
-    return out.drop("_fold")
+        model = fit(known.where(F.col(fold) != f), kind, features)
+        own = [c for c in out.columns if c not in features]
+        numbers = out.withColumns({f"_{c}": F.col(c) for c in features})  # predict overwrites them
+        out = predict(model, numbers, features).select(*own, *[F.col(f"_{c}").alias(c) for c in features], F.col("score").alias(f"score_{f}"))
+    each = [F.col(f"score_{f}") for f in range(folds)]
+    unseen = F.element_at(F.array(*each), F.col(fold) + 1)
+    raw = F.when(F.col(label).isNotNull(), unseen).otherwise(sum(each[1:], each[0]) / folds)
+    out = stage(out.withColumn("raw", raw).drop(*[f"score_{f}" for f in range(folds)]), "cross-fit")
+    learnt = out.where(F.col(label).isNotNull()).select(F.col("raw").alias("score"), F.col(label).cast("double").alias("label"))
+    return calibrate(learnt, out.withColumn("score", F.col("raw")))
 
 
 def _uno(rows: pa.Table) -> pa.Table:

@@ -433,17 +433,6 @@ def survival_backtest(spark, sf):
     return models.rolling_backtest(rows, "bucket", "start", "label", 365, range(1997, 2001))
 
 
-@query("ml28_cross_fit")
-def cross_fit(spark, sf):
-    """Scores of pairs by models that never saw their component."""
-    c = companies(spark, sf)
-    pairs = linkage.key_pairs(c, "company_id", "parent_group_key", "parent_group_key", "unique_id", "website", "naics_code")
-    same = lambda f: F.coalesce((F.col(f"x.{f}") == F.col(f"y.{f}")).cast("double"), F.lit(0.5)).alias(f)
-    label = F.when(F.col("x.unique_id") == F.col("y.unique_id"), 1.0).otherwise(0.0)
-    rows = pairs.select("a", "b", F.col("x.parent_group_key").alias("component"), same("website"), same("naics_code"), (1 / (1 + F.abs(F.col("a") - F.col("b")))).alias("near"), label.alias("label"))
-    return models.cross_fitted(rows, ("website", "naics_code", "near"), "label", "component", 4).select("a", "b", F.round("score", 4).alias("score"))
-
-
 @query("ml32_feedback_pairs", "WITH s AS (SELECT o_orderkey AS suggestion, o_custkey AS root, o_orderpriority[1] AS p FROM orders WHERE o_orderpriority[1] IN ('1', '5')), m AS (SELECT s.suggestion, CASE WHEN p = '1' THEN 1 ELSE 0 END AS label, l_partkey AS a, l_suppkey AS b FROM s JOIN lineitem ON l_orderkey = suggestion) SELECT suggestion, a, b, label FROM (SELECT DISTINCT * FROM m) QUALIFY row_number() OVER (PARTITION BY suggestion ORDER BY md5(a || ':' || b || '|3'), a, b) <= 2")
 def feedback_pairs(spark, sf):
     """Decided suggestions as labelled pairs, at most two of each by a seeded hash."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from severa.functions import text
+from severa.functions.likeness import name_similarity
 from severa.operators import linkage as lk
 from severa.operators.filters import active
 from severa.plans.adapter import COMPANIES, NC, NL, N, companies, locations, notices, table, with_
@@ -23,8 +24,8 @@ def similarity(spark, sf):
 
 
 @query("fn05_name_similarity", "SELECT c_custkey, round(jaro_winkler_similarity(lower(c_name), lower(c_mktsegment || right(c_name, 4))), 6) AS similarity FROM customer")
-def name_similarity(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.round(lk.name_similarity(F.lower("c_name"), F.lower(F.concat("c_mktsegment", F.expr("right(c_name, 4)")))), 6).alias("similarity"))
+def name_similarities(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.round(name_similarity(F.lower("c_name"), F.lower(F.concat("c_mktsegment", F.expr("right(c_name, 4)")))), 6).alias("similarity"))
 
 
 @query("fn06_nearest_names", r"""WITH p AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part), w AS (SELECT id, unnest(list_filter(regexp_split_to_array(name, '\s+'), lambda x: x <> '')) AS w FROM p), g AS (SELECT id, unnest(list_transform(range(1, length(w) + 1), lambda i: (' ' || w || ' ')[i:i + 2])) AS term FROM w),
@@ -106,7 +107,7 @@ def pair_features(spark, sf):
 def clusters(spark, sf):
     """Average linkage over pairs scored by their names' similarity; one unique id is a must-link, two are a cannot-link."""
     pairs = lk.key_pairs(companies(spark, sf), "company_id", "parent_group_key", "name", "unique_id")
-    scored = pairs.select("a", "b", lk.name_similarity("x.name", "y.name").alias("score"), F.when(_label() == 1, 1).when(_label() == 0, -1).alias("link"))
+    scored = pairs.select("a", "b", name_similarity("x.name", "y.name").alias("score"), F.when(_label() == 1, 1).when(_label() == 0, -1).alias("link"))
     return lk.cluster_pairs(scored, 0.97, 0.9)
 
 

@@ -7,6 +7,7 @@ import random
 import tarfile
 import zipfile
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from severa.functions import names, naics, text
+from severa.functions import likeness
 from severa.operators import dedup, events, filters, linkage, outlook, timeline, validate
 from severa.operators.graph import connected_components
 from severa.sources import letters, sinks, tables
@@ -238,7 +240,7 @@ def test_forecasts():
 
 
 def test_linkage(spark):
-    assert linkage.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and linkage.jaro_winkler("a", "b") == 0
+    assert likeness.jaro_winkler(np.array(["martha", "a"], object), np.array(["marhta", "b"], object)) == pytest.approx([0.9611, 0], abs=1e-4)
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.85), (1, 3, 0.1), (4, 5, 0.95)], "a long, b long, score double")
     got = {r.node: r.cluster for r in linkage.cluster_pairs(pairs).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
@@ -342,7 +344,7 @@ def test_series_is_skipped_when_broken(spark):
 
 
 def test_pandas_udf_takes_nulls():
-    assert linkage.name_similarity.func(pd.Series(["a", None]), pd.Series(["a", None])).tolist() == [1.0, 1.0]
+    assert likeness.name_similarity.func(pd.Series(["a", None]), pd.Series(["a", None])).tolist() == [1.0, 1.0]
 
 
 @pytest.mark.parametrize(

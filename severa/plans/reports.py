@@ -126,18 +126,18 @@ def audit(spark, sf):
     return rows.withColumn("flags", F.concat_ws(",", flag("no_date", 0.02, "dates"), flag("no_count", 0.15, "counts"), flag("no_company", 0.1, "companies")))
 
 
-@query("agg47_empty_years", f"{N}, y AS (SELECT DISTINCT state, year(notice_date) AS y FROM notices WHERE NOT is_superseded AND notice_date IS NOT NULL AND (location_id + year(notice_date)) % 4 <> 1 AND employer LIKE '%7'), r AS (SELECT state, min(y) AS a, max(y) AS b FROM y GROUP BY 1), s AS (SELECT state, unnest(range(a, b + 1)) AS y FROM r) SELECT s.state, string_agg(CAST(s.y AS VARCHAR), ',' ORDER BY s.y) AS empty_years FROM s LEFT JOIN y USING (state, y) WHERE y.state IS NULL GROUP BY 1")
+@query("agg47_empty_years", f"{N}, y AS (SELECT DISTINCT state, year(notice_date) AS y FROM notices WHERE NOT is_superseded AND notice_date IS NOT NULL AND (CAST(substr(state, 2) AS INT) + year(notice_date)) % 4 <> 1), r AS (SELECT state, min(y) AS a, max(y) AS b FROM y GROUP BY 1), s AS (SELECT state, unnest(range(a, b + 1)) AS y FROM r) SELECT s.state, string_agg(CAST(s.y AS VARCHAR), ',' ORDER BY s.y) AS empty_years FROM s LEFT JOIN y USING (state, y) WHERE y.state IS NULL GROUP BY 1")
 def empty_years(spark, sf):
-    return _empty_years(notices(spark, sf).where("employer like '%7'"))
+    return _empty_years(notices(spark, sf))
 
 
-@query("agg47_all_empty_years", oracle_of("agg47_empty_years").replace(" AND employer LIKE '%7'", ""))
+@query("agg47_all_empty_years", oracle_of("agg47_empty_years"))
 def all_empty_years(spark, sf):
     return _empty_years(notices(spark, sf))
 
 
 def _empty_years(n):
-    rows = filters.active(n).where("notice_date is not null and (location_id + year(notice_date)) % 4 <> 1")
+    rows = filters.active(n).where("notice_date is not null and (cast(substr(state, 2) as int) + year(notice_date)) % 4 <> 1")
     years = rows.groupBy("state").agg(F.collect_set(F.year("notice_date")).alias("ys"))
     gaps = F.array_except(F.sequence(F.array_min("ys"), F.array_max("ys")), F.col("ys"))
     return years.withColumn("gaps", F.array_sort(gaps)).where("size(gaps) > 0").select("state", F.array_join(F.transform("gaps", lambda y: y.cast("string")), ",").alias("empty_years"))

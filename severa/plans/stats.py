@@ -258,12 +258,12 @@ def sitemap_dates(spark, sf):
     return states.union(rows.join(canon, "company_id").groupBy("key").agg(F.max("notice_date").alias("lastmod")).select(F.lit("company"), "key", "lastmod"))
 
 
-@query("agg24_logo_queue", f"{NC}, r AS (SELECT coalesce(c.canonical_company_id, c.company_id) AS company, state, layoff_count, notice_id FROM notices n JOIN companies c USING (company_id) WHERE {COUNTED}) SELECT k.company_id, k.name, string_agg(DISTINCT state, ',' ORDER BY state) AS states, {TOTALS} FROM r JOIN companies k ON k.company_id = r.company WHERE k.website IS NOT NULL AND k.company_id % 2 = 0 GROUP BY ALL ORDER BY layoff_total DESC, k.company_id LIMIT 100")
+@query("agg24_logo_queue", f"{NC}, r AS (SELECT coalesce(c.canonical_company_id, c.company_id) AS company, state, layoff_count, notice_id FROM notices n JOIN companies c USING (company_id) WHERE {COUNTED}) SELECT k.company_id, k.name, string_agg(DISTINCT state, ',' ORDER BY state) AS states, {TOTALS} FROM r JOIN companies k ON k.company_id = r.company WHERE k.website IS NOT NULL AND k.company_id % 2 = 1 GROUP BY ALL ORDER BY layoff_total DESC, k.company_id LIMIT 100")
 def logo_queue(spark, sf):
     c = companies(spark, sf)
     canon = c.select("company_id", F.coalesce("canonical_company_id", "company_id").alias("company"))
     rows = counted(notices(spark, sf)).join(canon, "company_id").groupBy("company").agg(F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"), *totals())
-    due = c.where("website is not null and company_id % 2 = 0").select(F.col("company_id").alias("company"), "name")
+    due = c.where("website is not null and company_id % 2 = 1").select(F.col("company_id").alias("company"), "name")
     return rows.join(due, "company").orderBy(F.desc("layoff_total"), "company").limit(100).select(F.col("company").alias("company_id"), "name", "states", "notice_count", "layoff_total")
 
 

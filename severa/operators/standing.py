@@ -39,18 +39,19 @@ def filter_matches(subscriptions: DataFrame, rows: DataFrame, equal: dict[str, s
     by value and summed from the top, so a subscription costs a row and no filter meets rows that it doesn't match. A task
     holds the distinct values of one way."""
     low, value = least
-    cells = rows.groupBy(*equal.values(), value).agg(F.count("*").alias("n"), F.max(latest).alias("latest"))
-    open_ = lambda left: F.struct(*[F.when(F.lit(use), F.col(c)).alias(f) for use, (f, c) in zip(left, equal.items(), strict=True)])
-    ways = F.array(*[F.struct(F.lit("".join("01"[u] for u in left)).alias("way"), open_(left).alias("of")) for left in product((False, True), repeat=len(equal))])
-    spread = cells.select(F.explode(ways).alias("w"), F.coalesce(F.col(value).cast("long"), F.lit(_LOWEST)).alias("v"), "n", "latest")
+    cells = rows.groupBy(*[F.col(c).alias(f) for f, c in equal.items()], F.coalesce(F.col(value).cast("long"), F.lit(_LOWEST)).alias("_v")).agg(F.count("*").alias("_n"), F.max(latest).alias("_latest"))
+    open_ = lambda left: F.struct(F.lit("".join("01"[u] for u in left)).alias("_way"), *[F.when(F.lit(use), F.col(f)).alias(f) for use, f in zip(left, equal, strict=True)])
+    ways = F.array(*[open_(left) for left in product((False, True), repeat=len(equal))])
+    spread = cells.select(F.explode(ways).alias("_w"), "_v", "_n", "_latest")
     # A row whose column is null matches no filter that asks for a value.
-    spread = spread.where(" and ".join(f"(substr(w.way, {i + 1}, 1) = '0' or w.of.{f} is not null)" for i, f in enumerate(equal)))
-    spread = spread.groupBy("w.way", *[f"w.of.{f}" for f in equal], "v").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
+    spread = spread.where(" and ".join(f"(substr(_w._way, {i + 1}, 1) = '0' or _w.{f} is not null)" for i, f in enumerate(equal)))
+    keys = ["_way", *equal]
+    spread = spread.groupBy(*[F.col(f"_w.{k}").alias(k) for k in keys], "_v").agg(F.sum("_n").alias("_n"), F.max("_latest").alias("_latest"))
     way = F.concat(*[F.when(F.col(f).isNull(), "0").otherwise("1") for f in equal])
-    subs = subscriptions.select("sub_id", way.alias("way"), *equal, F.coalesce(F.col(low).cast("long"), F.lit(_LOWEST)).alias("v"))
-    marks = subs.select("way", *equal, "v").distinct().select("way", *equal, "v", F.lit(0).cast("long").alias("n"), F.lit(None).cast(rows.schema[latest].dataType).alias("latest"), F.lit(1).alias("mark"))
-    both = spread.select("way", *equal, "v", "n", "latest", F.lit(0).alias("mark")).union(marks)
-    down = Window.partitionBy("way", *equal).orderBy(F.desc("v"), "mark").rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("matches", F.sum("n").over(down)).withColumn("last", F.max("latest").over(down)).where("mark = 1 and matches > 0").alias("m")
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("way", *equal, "v")]
-    return subs.alias("s").join(met, same).select("sub_id", "matches", F.col("last").alias("latest"))
+    subs = subscriptions.select("sub_id", way.alias("_way"), *equal, F.coalesce(F.col(low).cast("long"), F.lit(_LOWEST)).alias("_v"))
+    marks = subs.select(*keys, "_v").distinct().select("*", F.lit(0).cast("long").alias("_n"), F.lit(None).cast(rows.schema[latest].dataType).alias("_latest"), F.lit(1).alias("_mark"))
+    both = spread.select(*keys, "_v", "_n", "_latest", F.lit(0).alias("_mark")).union(marks)
+    down = Window.partitionBy(*keys).orderBy(F.desc("_v"), "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("matches", F.sum("_n").over(down)).withColumn("latest", F.max("_latest").over(down)).where("_mark = 1 and matches > 0").alias("m")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*keys, "_v")]
+    return subs.alias("s").join(met, same).select("sub_id", "matches", "latest")

@@ -293,6 +293,20 @@ def company_events(spark, sf):
     return days.select("company", F.explode(ev.anchored_starts(F.col("days"), 30)).alias("day"))
 
 
+@query("str12_event_stream", oracle_of("str12_company_events"))
+def event_stream(spark, sf):
+    """The same events from a stream over three spans of days, started again from its checkpoint for each."""
+    from severa.streaming.streams import anchored_events, run_in_steps
+
+    known = counted(notices(spark, sf)).where(F.col("company_id").isNotNull() & (F.col("notice_date") <= F.lit(AS_OF)))
+    rows = known.select(F.col("company_id").alias("key"), F.unix_date("notice_date").cast("int").alias("day"))
+    cuts = [int(x) for x in rows.agg(F.percentile_approx("day", [0.33, 0.66])).first()[0]]
+    spans = [rows.where(F.col("day") <= cuts[0]), rows.where((F.col("day") > cuts[0]) & (F.col("day") <= cuts[1])), rows.where(F.col("day") > cuts[1])]
+    out = run_in_steps(spans, lambda source: anchored_events(source, 30), _folder(spark, "events"))
+    shift = (ev.EPOCH - datetime.date(1970, 1, 1)).days
+    return out.select(F.col("key").alias("company"), (F.col("start") - shift).alias("day"))
+
+
 # --- extension points, dimensions, enrichment, attachments -----------------------------------------------------------
 
 

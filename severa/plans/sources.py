@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from severa.operators.filters import active, counted
 from severa.plans.adapter import COMPANIES, LOCATIONS, NC, NL, N, companies, locations, notices, table, with_
 from severa.plans.registry import oracle_of, query
 from severa.sources import letters, sinks, tables
+from severa.staging import shared_dir
 
 AS_OF = datetime.date(2001, 7, 12)
 COUNTED = "NOT is_superseded AND closure_category IS DISTINCT FROM 'Non-WARN'"
@@ -209,9 +211,31 @@ def daily_counts(spark, sf):
     return counts(table(spark, sf, "events"), "user_id").select("user_id", F.col("day.start").cast("date").alias("day"), "calls")
 
 
-@query("str06_rate_limiter")
+_LIMIT = 3600 * 12
+_LIMITED = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  r AS (SELECT user_id, i, event_id, true AS allowed, [t] AS times FROM e WHERE i = 1
+    UNION ALL SELECT user_id, i, event_id, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END FROM (SELECT e.*, list_filter(r.times, lambda x: x > e.t - {_LIMIT}) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+  SELECT CAST(user_id AS BIGINT) AS key, CAST(event_id AS BIGINT) AS event_id, allowed FROM r"""
+
+
+def _calls(spark, sf):
+    return table(spark, sf, "events").select("user_id", F.col("event_id").cast("long").alias("event_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+
+@query("str06_rate_limiter", _LIMITED)
 def rate_limiter(spark, sf):
     from severa.streaming.streams import limited
 
-    rows = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
-    return limited(rows.withColumn("t", F.col("us") / 1e6), "user_id", 2, 3600.0 * 12)
+    return limited(_calls(spark, sf), "user_id", 2, _LIMIT)
+
+
+@query("str06_limiter_stream", _LIMITED)
+def limiter_stream(spark, sf):
+    """The limiter as a stream that is stopped and started again from its checkpoint twice."""
+    from severa.streaming.streams import limited, run_in_steps
+
+    rows = _calls(spark, sf)
+    ends = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    third = F.least(F.lit(2), F.floor((F.col("t") - ends["a"]) / ((ends["b"] - ends["a"]) / 3)))
+    folder = f"{shared_dir(spark)}/limiter-{uuid.uuid4().hex}"
+    return run_in_steps([rows.where(third == i) for i in range(3)], lambda source: limited(source, "user_id", 2, _LIMIT), folder)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def daily_counts(events: DataFrame, key: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -36,24 +37,44 @@ def _allow(rows: pd.DataFrame, times: list[float], limit: int, seconds: float) -
     return allowed, times
 
 
-def limiter(limit: int, seconds: float = 60.0):
+class _Limiter(StatefulProcessor):
     """A sliding-window limiter by key: a request is allowed if fewer than `limit` allowed ones lie in the last `seconds`;
-    rejected ones don't extend the window. The state holds at most `limit` times."""
+    rejected ones don't extend the window. State is a list of at most `limit` times, and goes with a timer when the
+    watermark has passed the last of them by the window, as it can then refuse nothing."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(batches).sort_values(["t", "event_id"])  # of one key and trigger
-        allowed, times = _allow(rows, times, limit, seconds)
-        state.update((times,))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "allowed": allowed})
+    def __init__(self, limit: int, seconds: float) -> None:
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.times = handle, handle.getListState("times", "t double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(rows).sort_values(["t", "event_id"])  # of one key and trigger
+        allowed, times = _allow(new, [row[0] for row in self.times.get()], self.limit, self.seconds)
+        self.times.put([(t,) for t in times])
+        _one_timer(self.handle, int((max(times, default=0.0) + self.seconds) * 1000) + 1)
+        yield pd.DataFrame({"key": key[0], "event_id": new["event_id"], "allowed": allowed})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    return run
 
+def _one_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """The key's only timer, at this moment of event time."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(at_ms)
 
-def limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0) -> DataFrame:
+
+def limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0, late: str = "1 minute") -> DataFrame:
     """events (key, event_id, t seconds) as a stream or a table -> key, event_id, allowed.
 
-    In a table the window empties wherever a key pauses for `seconds`, so each run between pauses is folded by itself."""
+    A stream needs a state store with timers (RocksDB), and its triggers' rows in the order of time; a key's state lives
+    as long as its window. Rows over `late` behind the newest of the triggers before are dropped, as are moments before 1970. In a table the window empties wherever a key pauses for `seconds`, so each run between pauses is folded by itself."""
     rows = events.select(F.col(key).cast("long").alias("key"), "event_id", "t")
     if not events.isStreaming:
         by = Window.partitionBy("key").orderBy("t", "event_id")
@@ -65,30 +86,65 @@ def limited(events: DataFrame, key: str, limit: int, seconds: float = 60.0) -> D
             return own.assign(allowed=_allow(own, [], limit, seconds)[0])[["key", "event_id", "allowed"]]
 
         return runs.select("key", "run", "event_id", "t").groupBy("key", "run").applyInPandas(fold, "key long, event_id long, allowed boolean")
-    return rows.groupBy("key").applyInPandasWithState(limiter(limit, seconds), "key long, event_id long, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def anchored(gap: int):
-    """Starts of events by key over days that arrive in order: state is the last start."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start = state.get[0] if state.exists else None
-        days = sorted({int(d) for rows in batches for d in rows["day"]})
-        opened = []
-        for d in days:
-            if start is None or d > start + gap:
-                start = d
-                opened.append(d)
-        if start is not None:
-            state.update((start,))
+    timed = rows.withColumn("at", F.timestamp_seconds("t")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Limiter(limit, seconds), "key long, event_id long, allowed boolean", "append", "EventTime")
+
+
+class _Anchored(StatefulProcessor):
+    """Starts of events by key over days that arrive in order: state is the last start, and goes with a timer once the
+    watermark has passed its gap, as any later day opens an event then."""
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.start = handle, handle.getValueState("start", "day int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        start, opened = self.start.get()[0] if self.start.exists() else None, []
+        for day in sorted({int(d) for batch in rows for d in batch["day"]}):
+            if start is None or day > start + self.gap:
+                start = day
+                opened.append(day)
+        self.start.update((start,))
+        _one_timer(self.handle, (start + self.gap + 1) * 86_400_000)
         yield pd.DataFrame({"key": [key[0]] * len(opened), "start": opened})
 
-    return run
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.start.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
+def anchored_events(rows: DataFrame, gap: int, late: str = "1 day") -> DataFrame:
+    """(key, day, counted from 1970) as a stream -> key, start. Needs a state store with timers (RocksDB); a key's state
+    lives as long as its event's gap."""
+    timed = rows.select("key", "day", F.timestamp_seconds(F.col("day").cast("long") * 86_400).alias("at")).withWatermark("at", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Anchored(gap), "key long, start int", "append", "EventTime")
 
-def anchored_events(rows: DataFrame, gap: int) -> DataFrame:
-    """(key, day) as a stream -> key, start."""
-    return rows.groupBy("key").applyInPandasWithState(anchored(gap), "key long, start int", "start int", "append", GroupStateTimeout.NoTimeout)
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_in_steps(slices: Iterable[DataFrame], stream: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Appends one slice after the other to a folder that a stream reads, and runs the stream over what is there until it
+    has read all, each time from the checkpoint that the run before has left. Returns what the stream has written."""
+    spark, before = None, None
+    for i, rows in enumerate(slices):
+        spark = rows.sparkSession
+        before = spark.conf.get(_STORE, None) if i == 0 else before
+        spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            rows.write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            out = stream(source)
+            run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            run.awaitTermination()
+        finally:
+            spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 def run_log(sink, log):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from severa.functions import names, naics, text
 from severa.functions import likeness
-from severa.operators import dedup, events, filters, linkage, outlook, timeline, validate
+from severa.operators import dedup, events, filters, linkage, outlook, standing, timeline, validate
 from severa.operators.graph import connected_components
 from severa.sources import letters, sinks, tables
 from severa.staging import stage
@@ -288,14 +288,23 @@ def test_snapshot_guard(spark, notices, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/mirror/csv").count() == 5
 
 
+@pytest.fixture
+def timers(spark):
+    """The state store that keeps timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
 def run_stream(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
     return df.sparkSession.table(name).collect()
 
 
-def test_streams_agree_with_tables(spark, tmp_path):
-    rows = [(k, i, float(t)) for i, (k, t) in enumerate((i % 3, (i * 37) % 500) for i in range(120))]
+def test_streams_agree_with_tables(spark, tmp_path, timers):
+    rows = [(k, i, 1000.0 + t) for i, (k, t) in enumerate((i % 3, (i * 37) % 500) for i in range(120))]
     want, windows = {}, {}
     for k, i, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         w = windows[k] = [x for x in windows.get(k, []) if x > t - 60]
@@ -319,6 +328,40 @@ def test_streams_agree_with_tables(spark, tmp_path):
     assert len({r.day for r in once}) == len(once)
 
 
+def test_state_goes_when_its_window_has_passed(spark, tmp_path):
+    """Three triggers, each from the checkpoint of the one before: what the timers have cleared decides nothing."""
+    day = 86_400.0
+    slices = [[(1, 1, 1.0), (1, 2, 2.0), (1, 3, 3.0), (2, 4, 5.0)], [(3, 5, 10 * day)], [(1, 6, 10 * day + 1), (2, 7, 10 * day + 2), (3, 8, 10 * day + 3), (3, 9, 10 * day + 4)]]
+    frames = [spark.createDataFrame(x, "key long, event_id long, t double").coalesce(1) for x in slices]
+    out = streams.run_in_steps(frames, lambda source: streams.limited(source, "key", 2, 60.0), f"file://{tmp_path}/limited")
+    assert {r.event_id: r.allowed for r in out.collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: True, 9: False}
+    days = [spark.createDataFrame(x, "key long, day int").coalesce(1) for x in ([(1, 10), (1, 15), (2, 13)], [(1, 17), (2, 50)], [(1, 51), (2, 57), (2, 58)])]
+    out = streams.run_in_steps(days, lambda source: streams.anchored_events(source, 7), f"file://{tmp_path}/anchored")
+    assert sorted((r.key, r.start) for r in out.collect()) == [(1, 10), (1, 51), (2, 13), (2, 50), (2, 58)]
+
+
+def test_standing_queries_of_odd_rows(spark):
+    t = lambda h: datetime.datetime(2001, 1, 1, h)
+    subs = spark.createDataFrame([(1, t(1)), (2, t(3)), (3, t(9)), (4, None), (5, t(1))], "sub_id long, seen timestamp")
+    rows = spark.createDataFrame([(t(1),), (t(3),), (t(3),), (t(5),), (None,)], "at timestamp")
+    got = {r.sub_id: (r.fresh, r.next_seen) for r in standing.since_marks(subs, rows, "at").collect()}
+    assert got == {1: (3, t(5)), 2: (1, t(5)), 3: (0, None), 4: (0, None), 5: (3, t(5))}
+    assert {r.fresh for r in standing.since_marks(subs, rows.limit(0), "at").collect()} == {0}
+
+    rnd = random.Random(3)
+    pick = lambda *x: rnd.choice([*x, None])
+    asked = [(i, pick("a", "b"), pick("x", "y"), pick(1, 5, 9)) for i in range(60)]
+    there = [(pick("a", "b", "c"), pick("x", "y"), pick(0, 1, 5, 7, 9), D(2001, 1, rnd.randrange(1, 28))) for _ in range(40)]
+    df = standing.filter_matches(spark.createDataFrame(asked, "sub_id long, w_s string, w_c string, w_n long"), spark.createDataFrame(there, "s string, c string, n long, day date"), {"w_s": "s", "w_c": "c"}, ("w_n", "n"), "day")
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, s, c, n in asked:
+        days = [d for a, b, m, d in there if (s is None or a == s) and (c is None or b == c) and (n is None or (m is not None and m >= n))]
+        if days:
+            want[i] = (len(days), max(days))
+    assert {r.sub_id: (r.matches, r.latest) for r in df.collect()} == want
+
+
 def test_run_log(spark, notices):
     class Log(dict):
         def done(self, i):

@@ -48,18 +48,24 @@ def calibrate(rows: DataFrame, scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", 1 / (1 + F.exp(-(F.lit(a) * logit(F.col("score")) + b))))
 
 
-def clustered_bootstrap(rows: DataFrame, key: str, value: str, replicates: int = 200) -> DataFrame:
-    """Mean of value with a 95 % interval by drawing keys, not rows: every key's weight in a replicate is a Poisson(1)
-    number by a hash, so no key's rows come together; sums by key are taken first."""
-    sums = rows.groupBy(key).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    each = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64(F.col(key).cast("string"), "replicate"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+def poisson_weight(key: Column, replicate: Column) -> Column:
+    """How often a replicate draws the key: a Poisson(1) number by a hash."""
+    u = (F.pmod(F.xxhash64(key.cast("string"), replicate), F.lit(1 << 30)) + 0.5) / (1 << 30)
     cut, total, weight = 0.36787944117144233, 0.0, F.lit(0)
     term = cut
     for k in range(1, 9):
         total += term
         weight = weight + F.when(u > total, 1).otherwise(0)
         term /= k
+    return weight
+
+
+def clustered_bootstrap(rows: DataFrame, key: str, value: str, replicates: int = 200) -> DataFrame:
+    """Mean of value with a 95 % interval by drawing keys, not rows: every key's weight in a replicate is a Poisson(1)
+    number by a hash, so no key's rows come together; sums by key are taken first."""
+    sums = rows.groupBy(key).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    each = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    weight = poisson_weight(F.col(key), F.col("replicate"))
     means = each.groupBy("replicate").agg((F.sum(F.col("s") * weight) / F.sum(F.col("n") * weight)).alias("m"))
     point = sums.agg((F.sum("s") / F.sum("n")).alias("point"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high")).join(F.broadcast(point))

@@ -46,4 +46,4 @@ def _load() -> None:
         import_module(f"severa.plans.{module}")
 
 
-MODULES = ["stats", "rows", "merging", "reports", "events", "outlook", "linkage", "sources", "more", "serving", "ingest", "matching", "survival", "incremental"]
+MODULES = ["stats", "rows", "merging", "reports", "events", "outlook", "linkage", "sources", "more", "serving", "ingest", "matching", "survival", "incremental", "report"]

@@ -100,7 +100,7 @@ class _Held:
 
     def add(self, keys: np.ndarray, occs: np.ndarray, counts: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> None:
         """counts: windows of each document, whose hashes follow one another."""
-        for held, new in ((self.keys, keys), (self.occs, occs), (self.counts, counts), (self.hashes, hashes), (self.checks, checks)):
+        for held, new in ((self.keys, keys), (self.occs, occs), (self.counts, counts), (self.hashes, hashes), (self.checks, checks.astype(np.uint32))):
             held.append(new)
         self.size += len(hashes)
 
@@ -108,26 +108,37 @@ class _Held:
         """Rows by part of the hash space: each window's earliest place. From `parts` on, rows by group of documents: the
         places of windows that are here and start earlier here."""
         keys, occs, counts, hashes, checks = (np.concatenate(x) for x in (self.keys, self.occs, self.counts, self.hashes, self.checks))
+        self.hashes, self.checks = [], []  # both are copied
         # Documents in order; a row that repeats a document has its place.
         rank = np.lexsort((occs, keys))
         keys, occs = keys[rank], occs[rank]
         new = np.ones(len(rank), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (occs[1:] != occs[:-1])
         begin, counts = (np.cumsum(counts) - counts)[rank], counts[rank]
-        pos = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        hashes, checks = (x[np.repeat(begin, counts) + pos] for x in (hashes, checks))
-        place = np.repeat(np.cumsum(new) - 1, counts)
+        pos = (np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        begin = np.repeat(begin, counts) + pos
+        hashes = hashes[begin]
+        checks = checks[begin]
+        place = np.repeat((np.cumsum(new) - 1).astype(np.int32), counts)
+        del begin
         keys, occs = keys[new], occs[new]
         # In this order the first of equal windows is the earliest. Where two windows share the hash and not the check, some
         # that are equal may both go on; `_repeats` finds them.
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes, kind="stable").astype(np.int32)
         again = np.zeros(len(order), bool)
-        again[1:] = (hashes[order][1:] == hashes[order][:-1]) & (checks[order][1:] == checks[order][:-1])
-        first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+        again[1:] = np.diff(hashes[order]) == 0
+        again[1:] &= np.diff(checks[order]) == 0
+        first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order), dtype=np.int32)))]
         late = np.sort(order[again & ((place[order] != place[first]) | (pos[order] != pos[first]))])
         keep = np.sort(order[~again])
-        part = _slot(hashes[keep], parts)
-        rows = self._rows(part, keep, _stored(hashes[keep], checks[keep], part, parts), keys, occs, place, pos)
+        del order, again, first
+        hashes = hashes[keep]
+        checks = checks[keep].astype(np.uint64)
+        part = _slot(hashes, parts)
+        stored = _stored(hashes, checks, part, parts)
+        del hashes, checks
+        rows = self._rows(part, keep, stored, keys, occs, place, pos)
+        del part, keep, stored
         fresh = np.ones(len(late), bool)
         by_place = np.lexsort((pos[late], place[late]))
         late = late[by_place]

@@ -21,7 +21,8 @@ from .common import ALNUM_WORD, keyed, text_of, without
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: the characters that ALNUM_WORD leaves out.
 BETWEEN = ALNUM_WORD.replace("[^", "[")
-#: The windows' shingles are broadcast up to this many distinct ones (about 100 bytes each); beyond, they are shuffled.
+#: Shingles, one-word windows and windows with their items are each broadcast up to this many rows (about 100 bytes each);
+#: beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -47,6 +48,10 @@ def _shingles(words: str) -> Column:
     return F.posexplode(F.arrays_zip(F.slice(words, 1, F.size(words) - 1).alias("a"), F.slice(words, 2, F.size(words)).alias("b"))).alias("at", "pair")
 
 
+def _few(table: DataFrame) -> bool:
+    return table.count() <= BROADCAST_ROWS
+
+
 def _near(large: DataFrame, small: DataFrame, broadcast: bool, keys: list[str]) -> DataFrame:
     return large.join(F.broadcast(small) if broadcast else small, keys)
 
@@ -77,9 +82,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     texts = rows.select("row", _words(F.col("norm")).alias("words"))
 
     pairs = stage(windows.where(F.size("words") > 1).select("window", F.size("words").alias("len"), _shingles("words")).select("window", "len", "at", "pair.a", "pair.b"), "shingles")
-    small = pairs.count() <= BROADCAST_ROWS
+    small = _few(pairs)
     in_docs = texts.where(F.size("words") > 1).select("row", "words", _shingles("words")).select("row", "words", "at", "pair.a", "pair.b")
-    counts = _near(in_docs.select("a", "b"), pairs.select("a", "b").distinct(), small, ["a", "b"]).groupBy("a", "b").count()
+    wanted, seen = pairs.select("a", "b").distinct(), in_docs.select("a", "b")
+    if small:
+        counts = _near(seen, wanted, True, ["a", "b"]).groupBy("a", "b").count()
+    else:  # counted before they are shuffled, so that a frequent pair is a row of every task
+        counts = seen.groupBy("a", "b").count().join(wanted, ["a", "b"])
     rarest = (
         pairs.join(counts, ["a", "b"])  # a window with a shingle that no document has can't occur; see the next line
         .groupBy("window", "len").agg(F.count("*").alias("found"), F.min(F.struct("count", "a", "b", "at")).alias("rare"))
@@ -90,12 +99,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     single = windows.where(F.size("words") == 1).select("window", F.lit(1).alias("len"), F.col("words")[0].alias("a"), F.lit(0).alias("offset"))
     if not single.isEmpty():
         ones = texts.select("row", "words", F.posexplode("words").alias("at", "a"))
-        met = met.union(_occurrences(ones, single, texts, small, ["a"]))
+        met = met.union(_occurrences(ones, single, texts, _few(single), ["a"]))
     found = stage(met, "found")
 
     spans = F.transform("met", lambda m: F.sequence(m["start"], m["start"] + m["len"] - 1))
     hits = found.groupBy("row").agg(F.collect_set(F.struct("start", "len")).alias("met")).select("row", F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("n_hit"))
-    named = _near(found.select("row", "window").distinct(), owners.where("item is not null").select("window", "item").distinct(), small, ["window"])
+    holders = owners.where("item is not null").select("window", "item").distinct()
+    named = _near(found.select("row", "window").distinct(), holders, _few(holders), ["window"])
     items = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     n_words = F.when(F.col("norm") == "", F.lit(0)).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long")
     out = rows.select("row", "doc", n_words.alias("n_words")).join(hits.join(items, "row", "left"), "row", "left")

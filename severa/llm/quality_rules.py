@@ -19,8 +19,10 @@ from .common import SPACE_WORD, text_of
 BITS = 6
 #: Groups of fewer documents take the next wider group's fences.
 MIN_DOCS = 100
-#: Features, each an integer share or mean per thousand, and the least room between the upper quartile and the fence.
-FEATURES = {"symbols": 100, "dup_lines": 300, "repeats": 300, "word_length": 3000}
+#: Features, each an integer share or mean per thousand, and the least distance from a quartile to its fence, which only
+#: speaks where the quartiles of a group lie together: one symbol in 50 words, one line in four, 150 words in a thousand,
+#: one character a word.
+FEATURES = {"symbols": 20, "dup_lines": 250, "repeats": 150, "word_length": 1000}
 #: Groups are broadcast to the documents up to so many rows of fences (under 100 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -32,8 +34,8 @@ def _bin(value: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc (struct of the other columns), n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, lang, source."""
+    """A row for each document: doc (struct of the other columns), n_words, word_chars, n_symbols, n_lines (those with a
+    word), n_dup_lines, n_repeat_words, lang, source."""
     text = text_of()
     words = F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))) > 0)
@@ -43,7 +45,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("words") > 2,
         F.transform(F.arrays_zip(F.slice("words", 1, F.size("words") - 2).alias("a"), F.slice("words", 2, F.size("words") - 2).alias("b"), F.slice("words", 3, F.size("words") - 2).alias("c")), lambda t: F.xxhash64(t)),
     ).otherwise(F.array().cast("array<bigint>"))
-    base = base.select("doc", "lang", "source", "words", F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), triples.alias("triples"))
+    base = base.select("doc", "lang", "source", "words", F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), triples.alias("triples"))
     # Texts without a repeated window are done with; in the others, sorting brings equal windows together.
     placed = F.array_sort(F.transform("triples", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     base = base.withColumn("placed", F.when(F.size(F.array_distinct("triples")) < F.size("triples"), placed))
@@ -51,20 +53,21 @@ def features(docs: DataFrame) -> DataFrame:
     base = base.withColumn("begins", F.when(F.col("placed").isNotNull(), F.array_sort(F.transform(again, lambda x: x["i"]))))
     # A window adds three words, less those that the window before it has covered.
     covered = F.aggregate("begins", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(i - s["last"], F.lit(3))).alias("n")), lambda s: s["n"])
-    return base.select("doc", "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    return base.select("doc", "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def shares(rows: DataFrame) -> DataFrame:
-    """Adds the features that fences apply to: whole numbers per thousand words (word_length: per word)."""
-    per = lambda c: F.when(F.col("n_words") > 0, F.expr(f"({c} * 1000) div n_words")).otherwise(F.lit(0)).cast("long")
-    return rows.withColumns({"symbols": per("n_symbols"), "dup_lines": per("n_dup_lines"), "repeats": per("n_repeat_words"), "word_length": per("word_chars")})
+    """Adds the features that fences apply to: whole numbers per thousand words (dup_lines: per thousand lines with a
+    word; word_length: per word)."""
+    per = lambda c, of="n_words": F.when(F.col(of) > 0, F.expr(f"({c} * 1000) div {of}")).otherwise(F.lit(0)).cast("long")
+    return rows.withColumns({"symbols": per("n_symbols"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words"), "word_length": per("word_chars")})
 
 
 def fences(rows: DataFrame, min_docs: int = MIN_DOCS, reach: int = 3) -> DataFrame:
     """rows of `shares` -> lang, source, and lo_f, hi_f for each feature f.
 
-    hi is the upper quartile plus `reach` times the distance between the quartiles, or plus the feature's least room if
-    that is more; lo the same below the lower quartile."""
+    hi is the upper quartile plus `reach` times the distance between the quartiles, or plus the feature's floor in
+    FEATURES if that is more; lo the same below the lower quartile."""
     stacked = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _bin(F.col(f)).alias("bin")) for f in FEATURES])).alias("x"))
     own = stacked.groupBy("lang", "source", "x.feature", "x.bin").agg(F.count("*").alias("n"))
     own = stage(own, "sketches")

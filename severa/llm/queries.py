@@ -219,13 +219,14 @@ rep AS (SELECT doc_id, count(*) AS n_rep FROM (SELECT DISTINCT doc_id, unnest(ra
   FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM tri) WHERE c > 1) GROUP BY doc_id),
 f AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) AS n_lines,
   CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))
     - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
-g AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbols, CASE WHEN n_words > 0 THEN n_dup_lines * 1000 // n_words ELSE 0 END AS dup_lines,
+g AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines,
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeats, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS word_length FROM f),
-x AS (SELECT doc_id, lang, source, 'symbols' AS feature, 100 AS room, symbols AS v FROM g UNION ALL SELECT doc_id, lang, source, 'dup_lines', 300, dup_lines FROM g
-  UNION ALL SELECT doc_id, lang, source, 'repeats', 300, repeats FROM g UNION ALL SELECT doc_id, lang, source, 'word_length', 3000, word_length FROM g),
+x AS (SELECT doc_id, lang, source, 'symbols' AS feature, 20 AS room, symbols AS v FROM g UNION ALL SELECT doc_id, lang, source, 'dup_lines', 250, dup_lines FROM g
+  UNION ALL SELECT doc_id, lang, source, 'repeats', 150, repeats FROM g UNION ALL SELECT doc_id, lang, source, 'word_length', 1000, word_length FROM g),
 y AS (SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bin_,
   count(*) OVER (PARTITION BY lang, source, feature) AS n_own, count(*) OVER (PARTITION BY lang, feature) AS n_lang FROM x),
 z AS (SELECT *, CASE WHEN n_own >= 100 THEN 0 WHEN n_lang >= 100 THEN 1 ELSE 2 END AS level FROM y),

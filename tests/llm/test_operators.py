@@ -87,6 +87,24 @@ def test_decontamination_windows(spark):
     assert got == {1: (20, True), 2: (13, True), 3: (0, False), 4: (20, False), 5: (26, True)}
 
 
+@pytest.mark.parametrize("most", [0, 12])
+def test_decontamination_beyond_broadcast(spark, docs, monkeypatch, most):
+    """Tables above the limit are shuffled, each by its own size: same result, and no hint in the plan of the large one."""
+    from severa.llm import decontamination
+
+    passage = " ".join(f"w{i}" for i in range(100, 113))
+    items = spark.createDataFrame([(i, passage) for i in range(40)] + [(100, "words"), (101, "one two three"), (102, "ça")], "item_id long, text string")
+    show = lambda out: Counter((r.doc.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in out.collect())
+    want = show(decontaminate(docs, items))
+    asked = []
+    near = decontamination._near
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(decontamination, "_near", lambda large, small, broadcast, keys: asked.append((small.count(), broadcast)) or near(large, small, broadcast, keys))
+    assert show(decontaminate(docs, items)) == want
+    assert asked and all(n <= most for n, broadcast in asked if broadcast)
+    assert any(r[0] == 5 and r[2] == 13 and len(r[3]) == 40 for r in want)
+
+
 def test_mix_targets_and_copies(spark):
     rows = [(i, "w " * (i % 7 + 1), s) for s, n in (("a", 40), ("b", 400), ("c", 300), (None, 50)) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -188,6 +206,27 @@ def test_quality_keeps_clean_and_rejects_odd(spark):
     assert kept == {i for i, *_ in clean}
 
 
+def test_quality_fences_follow_their_source(spark):
+    import random
+
+    rnd = random.Random(2)
+    word = lambda: f"word{rnd.randint(0, 10**6)}"
+    with_symbols = lambda n: " ".join([word() for _ in range(100 - n)] + [f"{word()}#" for _ in range(n)])
+    lines = lambda again: "\n".join(["a header of this very page"] * (again + 1) + [" ".join(word() for _ in range(10)) for _ in range(11 - again)])
+    # Source tags writes up to 30 symbols in 100 words, source prose none; the same text is usual here and odd there.
+    rows = [(i, with_symbols(rnd.randint(0, 30)), "en", "tags") for i in range(200)] + [(200 + i, with_symbols(0), "en", "prose") for i in range(200)]
+    same = with_symbols(25)
+    rows += [(400, same, "en", "tags"), (401, same, "en", "prose")]
+    # Source pages repeats a line seldom, source forum up to five of twelve times: six in twelve fail by their lines alone.
+    rows += [(500 + i, lines(0), "en", "pages") for i in range(200)] + [(700 + i, lines(rnd.randint(0, 5)), "en", "forum") for i in range(200)]
+    copied = lines(4)
+    rows += [(900, copied, "en", "pages"), (901, copied, "en", "forum")]
+    out = {r.doc.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[400].kept and not out[401].kept and out[901].kept and not out[900].kept
+    assert not any(out[i].base_failed for i in (400, 401, 900, 901)) and out[900].n_symbols == 0
+    assert all(out[i].kept for i in range(400)) and all(out[i].kept for i in range(500, 900))
+
+
 def test_token_counts(spark, docs, tmp_path):
     from public_tokenizers import path
     from tokenizers import Tokenizer

@@ -29,7 +29,7 @@ def apply_enrichers(rows: DataFrame, filled: list[str]) -> DataFrame:
 
 @enricher
 def _zip(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("zip", text.zip_from(F.col("zip"), F.col("address")))
+    return rows.withColumn("zip", text.zip_from(F.col("zip"), text.zip_of_address(F.col("address"))))
 
 
 @enricher

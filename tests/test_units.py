@@ -476,6 +476,14 @@ def test_promotion_and_tiers(spark):
     assert one(spark, models.strict_json(F.lit(float("inf")).alias("a"), F.lit(None).cast("int").alias("b"))) == '{"a":null,"b":null}'
 
 
+def test_zip_is_not_the_house_number(spark):
+    from severa.operators import enrich
+
+    given = {"12345 Main St, Town3, ST 10045": "10045", "12345 Main St, Town": None, "12345 A St, B, CA 92101-1234": "92101", "12345 A St, B, CA 92101, USA": "92101", "92101": "92101"}
+    rows = spark.createDataFrame([(a, None, None) for a in given], "address string, city string, zip string")
+    assert {r.address: r.zip for r in enrich.apply_enrichers(rows, ["city", "zip"]).collect()} == given
+
+
 def test_cross_fit_never_sees_its_group(spark):
     from severa.operators import models
 

@@ -201,3 +201,27 @@ def test_suggestions_take_whole_groups(spark):
     # 30 lies in two clusters; 40 has one pair of four without a score; 50 and 60 tie in notices, and the smaller root stays.
     assert run([]) == {(20, 10, 0.9), (60, 50, 0.95)}
     assert run([(10, 20)]) == {(60, 50, 0.95)} and run([(60, 50), (20, 10)]) == set()
+
+
+def test_suggestions_at_just_the_least(spark):
+    """Means of just `least` pass, whatever the order of their pairs: 0.75 + 0.8 + 0.85 is less than 2.4 in doubles."""
+    members = [(1, 1, 10, 5), (2, 1, 20, 1), (3, 1, 20, 1), (4, 1, 20, 1)]
+    for scores in ((0.75, 0.8, 0.85), (0.85, 0.8, 0.75), (0.7, 0.7, 1.0), (0.62, 0.79, 0.99)):
+        pairs = [(1, b, x) for b, x in zip((2, 3, 4), scores, strict=True)]
+        out = linkage.merge_suggestions(spark.createDataFrame(members, "node long, cluster long, root long, n_notices long"), spark.createDataFrame(pairs, "a long, b long, score double").coalesce(1), spark.createDataFrame([], "x long, y long"), 0.8).collect()
+        assert [(r.company_id, r.target_company_id, round(r.score, 9)) for r in out] == [(20, 10, 0.8)]
+
+
+def test_merge_suggestions_mean_of_just_four_fifths(spark, tmp_path):
+    """Every mean of 0.8 or more is there, by whole hundredths."""
+    from severa.plans import registry
+
+    spark.range(3000).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name", "'M' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    want = {}
+    for a in range(3000):
+        for b in range(a + 97, 3000, 97):  # one parent's companies
+            pair = a - a % 3, b - b % 3
+            if a % 4 and b % 4 and pair[0] != pair[1]:
+                want.setdefault(pair, []).append((a + b) % 100)
+    got = {(r.root, r.other): r.pairs for r in registry.queries()["ml30_merge_suggestions"](spark, str(tmp_path)).collect()}
+    assert got == {k: len(v) for k, v in want.items() if sum(v) >= 80 * len(v)}

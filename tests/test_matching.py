@@ -225,3 +225,14 @@ def test_merge_suggestions_mean_of_just_four_fifths(spark, tmp_path):
                 want.setdefault(pair, []).append((a + b) % 100)
     got = {(r.root, r.other): r.pairs for r in registry.queries()["ml30_merge_suggestions"](spark, str(tmp_path)).collect()}
     assert got == {k: len(v) for k, v in want.items() if sum(v) >= 80 * len(v)}
+
+
+def test_all_labels_shuffle_no_pairs(spark, capsys):
+    """Labels come from what pairs carry: the join of the blocks, with lo and hi, is the last."""
+    from conftest import TINY
+    from severa.plans import registry
+
+    registry.queries()["ml27_all_labels"](spark, TINY).explain()
+    plan = capsys.readouterr().out
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "hi#" in joins[0] and not any("hi#" in line for line in joins[1:])

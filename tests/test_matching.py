@@ -236,3 +236,15 @@ def test_all_labels_shuffle_no_pairs(spark, capsys):
     plan = capsys.readouterr().out
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "hi#" in joins[0] and not any("hi#" in line for line in joins[1:])
+
+
+def test_neighbours_by_blocks_and_classes(spark):
+    """Blocks of seven give what one block gives; of a name that thousands have, a node gets the smallest others."""
+    rnd = random.Random(4)
+    names = [(i, " ".join(rnd.choice(("red", "blue", "old", "tin")) for _ in range(2))) for i in range(90)] + [(1000 + i, "hot name") for i in range(3000)]
+    terms = spark.createDataFrame(names, "id long, name string").select("id", F.explode(linkage.char_grams(F.col("name"))).alias("term"))
+    w = linkage.tfidf(terms, "id")
+    asked = w.where("id % 30 = 0")
+    rows = [{tuple(r) for r in linkage.cosine_neighbours(asked, w, "id", 4, 0.4, block).collect()} for block in (7, None)]
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} >= {0, 30, 60}
+    assert {r[1:] for r in rows[0] if r[0] == 1020} == {(1000 + i, 1.0) for i in range(4)}

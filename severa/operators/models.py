@@ -60,6 +60,18 @@ def poisson_weight(key: Column, replicate: Column) -> Column:
     return weight
 
 
+def poisson_draws(hashed: np.ndarray, replicate: int) -> np.ndarray:
+    """`poisson_weight` in a replicate of keys, as text, whose xxhash64 is given: the replicate goes into the hash after it."""
+    a, b, c, d = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = hashed.view(np.uint64) + (d + np.uint64(4)) ^ np.array([replicate], np.uint64) * a
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * b + c
+    h = (h ^ h >> np.uint64(33)) * b
+    h = (h ^ h >> np.uint64(29)) * c
+    u = (((h ^ h >> np.uint64(32)) & np.uint64((1 << 30) - 1)).astype(np.float64) + 0.5) / (1 << 30)
+    terms = np.cumprod([0.36787944117144233, *(1 / k for k in range(1, 8))])
+    return np.searchsorted(np.cumsum(terms), u)
+
+
 def clustered_bootstrap(rows: DataFrame, key: str, value: str, replicates: int = 200) -> DataFrame:
     """Mean of value with a 95 % interval by drawing keys, not rows: every key's weight in a replicate is a Poisson(1)
     number by a hash, so no key's rows come together; sums by key are taken first."""

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from severa.operators import importance
+from severa import staging
+from severa.operators import importance, models
 
 
 def _precision(rows):
@@ -63,6 +65,39 @@ def test_importance(spark):
     assert {r.feature: pytest.approx(r["mean"]) for r in one.collect()} == want
 
 
+def test_draws_are_the_weights(spark):
+    rows = spark.range(300).select("id", F.xxhash64(F.col("id").cast("string")).alias("h"), *[models.poisson_weight(F.col("id"), F.lit(r)).alias(f"w{r}") for r in (1, 2, 200)]).toPandas()
+    for r in (1, 2, 200):
+        assert models.poisson_draws(rows["h"].to_numpy(), r).tolist() == rows[f"w{r}"].tolist()
+
+
+def test_gain_over_ranges(spark, monkeypatch):
+    """Ties, null scores and labels, and ranges of a few cells, against a plain count of every replicate."""
+    rnd = random.Random(9)
+    rows = [(rnd.randint(0, 40), rnd.choice([0, 0, 1, None]), rnd.choice([None, float("nan"), *range(6), rnd.random()]), rnd.random()) for _ in range(700)]
+    rows = [(k, y, None if s is None else float(s), t) for k, y, s, t in rows]
+    df = spark.createDataFrame(rows, "company int, label int, new double, old double")
+    keys = spark.range(41)
+    weights = {(r.id, i): r[f"w{i}"] for r in keys.select("id", *[models.poisson_weight(F.col("id").cast("int"), F.lit(i)).alias(f"w{i}") for i in range(1, 31)]).collect() for i in range(1, 31)}
+    of = lambda at, w: _precision([(float("inf") if (s := r[at]) is not None and s != s else s, r[1], w(r[0])) for r in rows if r[1] is not None and w(r[0])])
+    draws = sorted(of(2, w) - of(3, w) for w in ((lambda k, i=i: weights[k, i]) for i in range(1, 31)))
+    whole = of(2, lambda k: 1) - of(3, lambda k: 1)
+    for size in (100_000, 20):
+        monkeypatch.setattr(importance, "RANGE", size)
+        got = importance.precision_gain(df, "company", "new", "old", "label", 30).first()
+        assert got.gain == pytest.approx(whole) and [got.low, got.high] == pytest.approx(np.percentile(draws, [2.5, 97.5]).tolist())
+        same = importance.precision_gain(df, "company", "new", "new", "label", 30).first()
+        assert same.gain == same.low == same.high == 0
+    assert importance.precision_gain(df.limit(0), "company", "new", "old", "label", 3).first().gain is None
+
+
+def test_gain_copies_no_row_for_a_replicate(spark):
+    df = spark.range(4000).select((F.col("id") % 2000).alias("company"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.rand(1).alias("new"), F.rand(2).alias("old"))
+    mark = len(staging.staged_since())
+    importance.precision_gain(df, "company", "new", "old", "label", 200).first()
+    assert max(spark.read.parquet(p).count() for p in staging.staged_since(mark)) <= 8000
+
+
 def test_choice(spark):
     rnd = random.Random(6)
     rows = [(i % 60, y := int(rnd.random() < 0.4), y + rnd.gauss(0, 0.3), y + rnd.gauss(0, 2)) for i in range(600)]

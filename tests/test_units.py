@@ -205,6 +205,26 @@ def test_q_values(spark):
     assert got == pytest.approx({0.01: 0.04, 0.03: 0.04 / 3 * 4, 0.04: 0.04 / 3 * 4, 0.5: 0.5})
 
 
+def test_q_values_over_ranges(spark):
+    """Null keys and p, ties, and a key whose tests lie in several ranges, against the plain rule; no window holds a key."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["a", "b", "c", None]), rnd.choice([None, 0.5, 0.001, rnd.random()])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, key string, p double").repartition(7)
+    for keys in ((), ("key",)):
+        got = events.benjamini_hochberg(df, "p", *keys)
+        assert got.columns == ["id", "key", "p", "q"]
+        want = {}
+        for key in ({r[1] for r in rows} if keys else {0}):
+            own = sorted((r for r in rows if not keys or r[1] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+            least = 1.0
+            for i in range(len(own), 0, -1):
+                least = least if own[i - 1][2] is None else min(least, own[i - 1][2] * len(own) / i)
+                want[own[i - 1][0]] = least
+        assert {r.id: r.q for r in got.collect()} == want
+    plan = events.benjamini_hochberg(df, "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan and "_range" in plan
+
+
 def test_t_tail():
     for t, df, want in ((2.0, 10, 0.0733880), (1.0, 1, 0.5), (0.0, 5, 1.0), (4.5, 30, 0.0000958)):
         assert outlook.t_tail(t, df) == pytest.approx(want, abs=1e-6)

@@ -323,6 +323,38 @@ def run_stream(df, name, mode="append"):
     return df.sparkSession.table(name).collect()
 
 
+def test_streams_keep_state_by_bucket(spark, tmp_path, timers):
+    """More keys than buckets, a null key beside key 0 and triggers that go on from state: as plain rules say, in a row of state a bucket."""
+    rnd = random.Random(3)
+    keys = [None, *range(1200)]
+    rows = [(k, i, 86_400.0 * day + rnd.randint(0, 9)) for i, (k, day) in enumerate((k, day) for day in (9000, 9003, 9009, 9300) for k in keys for _ in range(rnd.randint(0, 2)))]
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[2], r[1]))
+    allowed, starts, times, last = {}, set(), {}, {}
+    for k, i, t in order:
+        times[k] = [x for x in times.get(k, []) if x > t - 5 * 86_400]
+        allowed[i] = len(times[k]) < 2
+        times[k] += [t] * allowed[i]
+        if k not in last or t // 86_400 > last[k] + 5:
+            last[k] = int(t // 86_400)
+            starts.add((k, last[k]))
+    df = spark.createDataFrame(rows, "key long, event_id long, t double")
+    for name, stream, want in (
+        ("limits", lambda d: streams.limited(d, "key", 2, 5 * 86_400.0), set(allowed.items())),
+        ("starts", lambda d: streams.anchored_events(d.select("key", F.floor(F.col("t") / 86_400).cast("int").alias("day")), 5), starts),
+    ):
+        held = []
+        for step, end in enumerate((9005, 9100, 9400)):
+            df.where(f"t < 86400D * {end}" + (f" and t >= 86400D * {(9005, 9100)[step - 1]}" if step else "")).write.parquet(f"file://{tmp_path}/{name}/in/step={step}")
+            source = spark.readStream.schema("key long, event_id long, t double, step int").parquet(f"file://{tmp_path}/{name}/in")
+            q = stream(source).writeStream.format("parquet").option("path", f"file://{tmp_path}/{name}/out").option("checkpointLocation", f"file://{tmp_path}/{name}/at").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+            held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        got = spark.read.parquet(f"file://{tmp_path}/{name}/out")
+        assert {tuple(r) for r in got.select(*(("event_id", "allowed") if name == "limits" else ("key", "start"))).collect()} == want and got.count() == len(want)
+        assert 0 < max(held) <= streams.BUCKETS + 1
+    assert {r.event_id: r.allowed for r in streams.limited(df, "key", 2, 5 * 86_400.0).collect()} == allowed
+
+
 def test_streams_agree_with_tables(spark, tmp_path, timers):
     rows = [(k, i, 1000.0 + t) for i, (k, t) in enumerate((i % 3, (i * 37) % 500) for i in range(120))]
     want, windows = {}, {}

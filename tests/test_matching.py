@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from severa.functions import likeness
 from severa.operators import dedup, linkage, models
-from severa.operators.pair_features import FEATURES, least_distances, pair_features
+from severa.operators.pair_features import FEATURES, features_of_key, least_distances, pair_features
 
 D = datetime.date
 
@@ -248,3 +248,29 @@ def test_neighbours_by_blocks_and_classes(spark):
     rows = [{tuple(r) for r in linkage.cosine_neighbours(asked, w, "id", 4, 0.4, block).collect()} for block in (7, None)]
     assert rows[0] == rows[1] and {r[0] for r in rows[0]} >= {0, 30, 60}
     assert {r[1:] for r in rows[0] if r[0] == 1020} == {(1000 + i, 1.0) for i in range(4)}
+
+
+def test_features_of_a_key_shuffle_no_pair(spark):
+    """Columns of all pairs of a key: names by their trigrams, and places one by one or, of a node of many, in cubes."""
+    rnd = random.Random(5)
+    places = {n: [(rnd.uniform(-60, 80), rnd.uniform(-180, 180)) for _ in range(rnd.choice((0, 1, 3, 20)))] for n in range(12)}
+    few = spark.createDataFrame([(n, "k" if n % 5 else None, " ".join(rnd.choices(["acme", "steel", "iron", "zinc", "é𝄞"], k=3)), ps) for n, ps in places.items()], "node long, key string, canonical string, points array<struct<lat: double, lon: double>>")
+    empty = {"string": ("name", "cleaned", "dba"), "array<string>": ("states", "cities", "zips", "state_days"), "date": ("first", "last"), "long": ("n_notices", "layoffs")}
+    whole = lambda rows: rows.withColumns({c: F.lit(None).cast(t) for t, cs in empty.items() for c in cs})
+    out = features_of_key(whole(few), "key")
+    assert "hashpartitioning(a" not in out._jdf.queryExecution().toString()
+    got = {(r.a, r.b): r for r in out.collect()}
+    assert got.keys() == {(a, b) for a in places for b in places if a < b and a % 5 and b % 5}
+    names = few.select("node", F.explode(linkage.char_grams(F.col("canonical"))).alias("term"))
+    for r in linkage.pair_cosines(spark.createDataFrame(list(got), "a long, b long"), linkage.tfidf(names, "node"), "node").collect():
+        assert got[r.a, r.b].name_char_cos == pytest.approx(r.cosine, abs=1e-12)
+
+    def check(found, sets):
+        for (a, b), r in found.items():
+            want = min((haversine(p, q) for p in sets[a] for q in sets[b]), default=None)
+            assert r.min_geo_km is None if want is None else abs(r.min_geo_km - want) < 1e-6
+
+    check(got, places)
+    places[1] = [(rnd.uniform(-60, 80), rnd.uniform(-180, 180)) for _ in range(300)] + places[3]
+    many = few.where("node <> 1").union(spark.createDataFrame([(1, "k", "acme", places[1])], few.schema))
+    check({(r.a, r.b): r for r in features_of_key(whole(many), "key").collect()}, places)

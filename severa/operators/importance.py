@@ -31,12 +31,13 @@ def precision_within(rows: DataFrame, keys: list[str], score: str, label: str, w
 def dealt(rows: DataFrame, key: str, columns: tuple[str, ...], repeats: int, seed: int = 0) -> DataFrame:
     """rows with a unique key -> a row for each repeat, with `dealt`: the columns of the row whose values it gets. Rows are
     numbered in the order of two seeded digests, and the number in one is joined to that in the other, which is a
-    permutation; all repeats are numbered at once, as each takes as many numbers."""
-    each = stage(rows.select(key, F.struct(*columns).alias("dealt")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))), "repeats")
+    permutation; all repeats are numbered at once, as each takes as many numbers. Digests are sorted and sent as 16 bytes,
+    whose order is that of their text, and rows are staged before they are repeated."""
+    each = stage(rows.select(key, F.struct(*columns).alias("dealt")), "repeats").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     text = F.col(key).cast("string")
-    digest = lambda i: F.md5(F.concat_ws("|", F.lit(2 * seed + i), F.col("repeat"), text))
-    takers = row_numbers(each.select(key, "repeat", digest(0).alias("_h")), [F.col("repeat"), F.col("_h"), F.col(key)], "_at").drop("_h")
-    givers = row_numbers(each.select(key, "dealt", "repeat", digest(1).alias("_h")), [F.col("repeat"), F.col("_h"), F.col(key)], "_at").select("_at", "dealt")
+    digest = lambda i: F.unhex(F.md5(F.concat_ws("|", F.lit(2 * seed + i), F.col("repeat"), text)))
+    takers = row_numbers(each.select(key, "repeat", digest(0).alias("_h")), [F.col("repeat"), F.col("_h"), F.col(key)], "_at", ("_h",))
+    givers = row_numbers(each.select(key, "dealt", "repeat", digest(1).alias("_h")), [F.col("repeat"), F.col("_h"), F.col(key)], "_at", (key, "repeat", "_h"))
     return rows.join(takers.join(givers, "_at").drop("_at"), key)
 
 

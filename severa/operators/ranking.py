@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from severa.staging import stage
 
 
-def row_numbers(rows: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
-    """Adds the row's number in the order. Rows are dealt out by ranges of it and numbered inside a range; the counts of
-    the ranges before, a row each, make up the rest. The ranges are staged, so a lost task can't redraw them."""
-    ranged = stage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+#: Bits of `monotonically_increasing_id` that number the rows of a partition.
+_INSIDE = 33
+
+
+def row_numbers(rows: DataFrame, order: list[Column], name: str = "row_number", leave_out: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the row's number in the order, and drops the columns left out. Rows are dealt out by ranges of it, and numbered
+    where they were sorted, so that they are shuffled once; the counts of the ranges before, a row each, make up the rest.
+    The ranges are staged, so a lost task can't redraw them."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stage(sorted_.withColumn("_at", F.monotonically_increasing_id()).drop(*leave_out), "ranges")
+    ranged = ranged.withColumns({"_range": F.shiftright("_at", _INSIDE), "_at": F.col("_at").bitwiseAND((1 << _INSIDE) - 1) + 1})
     sizes = ranged.groupBy("_range").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("_range", before.alias("_before")))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.join(offsets, "_range").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_range", "_before")
+    return ranged.join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop(*{"_range", "_before", "_at"} - {name})
 
 
 def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from severa import staging
 from severa.operators import importance, models
+from severa.operators.ranking import row_numbers
 
 
 def _precision(rows):
@@ -111,3 +112,14 @@ def test_choice(spark):
     assert {x.chosen for x in importance.choose(gain, "new", "old").collect()} == {"new"}
     for other in (back, same):
         assert {x.chosen for x in importance.choose(gain.unionByName(other), "new", "old").collect()} == {"old"}
+
+
+def test_row_numbers_shuffle_rows_once(spark):
+    """Numbers in the order, over many ranges; rows are not dealt out again to be numbered."""
+    rows = spark.range(5000).select("id", F.md5(F.col("id").cast("string")).alias("h"))
+    out = row_numbers(rows.repartition(7), [F.desc("h")], "n", ("h",))
+    assert out.columns == ["id", "n"]
+    assert "row_number()" not in out._jdf.queryExecution().toString()
+    want = [r.id for r in rows.orderBy(F.desc("h")).collect()]
+    assert [r.id for r in out.orderBy("n").collect()] == want and sorted(r.n for r in out.collect()) == list(range(1, 5001))
+    assert row_numbers(rows.limit(0), [F.col("h")]).collect() == []

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from severa.grouping import fold_groups
 from severa.sources.tables import untar
 
 
@@ -98,12 +99,12 @@ def workbooks(rows: DataFrame, key: str, columns: list[str], title: str) -> Data
     def cell(value: str) -> str:
         return f'<c t="inlineStr"><is><t>{escape(value or "")}</t></is></c>'
 
-    def write(own: pd.DataFrame) -> pd.DataFrame:
-        lines = [[title], columns, *own[columns].values.tolist()]
+    def write(own: dict[str, list]) -> list[tuple]:
+        lines = [[title], columns, *zip(*(own[c] for c in columns), strict=True)]
         body = "".join(f"<row>{''.join(map(cell, line))}</row>" for line in lines)
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
-        return pd.DataFrame({"path": [own[key].iloc[0]], "content": [out.getvalue()]})
+        return [(own[key][0], out.getvalue())]
 
-    return rows.groupBy(key).applyInPandas(write, "path string, content binary")
+    return fold_groups(rows, key, write, "path string, content binary", ["path", "content"])

@@ -43,6 +43,32 @@ def supersession_pairs(notices: DataFrame) -> DataFrame:
     return pairs.select("o.key", F.explode(hits).alias("case"), F.col("o.notice_id").alias("o_id"), F.col("k.notice_id").alias("k_id"))
 
 
+#: What both sides of a case have in common beside the key (null equals null where it is said), and what each side must be.
+_CASE_SIDES = (
+    (("city",), ("layoff_count",), "city IS NOT NULL AND zip IS NULL", "city IS NOT NULL AND zip IS NOT NULL"),
+    (("city",), ("zip",), "city IS NOT NULL", "city IS NOT NULL"),
+    (("address",), (), "address IS NOT NULL AND zip IS NULL", "address IS NOT NULL AND zip IS NOT NULL"),
+    ((), ("layoff_count",), "city IS NULL", "city IS NOT NULL"),
+)
+
+
+def pairs_of_case(notices: DataFrame, case: int) -> DataFrame:
+    """The pairs of one case alone, as `supersession_pairs` gives them: o_id, k_id. What the case wants equal is a key of the
+    join and what it wants of one side is asked of that side before, so that no pair is made that the case doesn't hold but
+    for the times and counts of amended ones."""
+    alike, alike_or_null, old, kept = _CASE_SIDES[case]
+    rows = notices.dropna(subset=["notice_date", "state", "employer"])
+    named = [F.col("state").alias("_s"), F.lower(F.trim("employer")).alias("_e"), F.col("notice_date").alias("_d"), *alike]
+    # Null equals null by a flag beside a value in its place, so that each remains a plain key of the join.
+    named += [c for k in alike_or_null for c in (F.col(k).isNull().alias(f"_no_{k}"), F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}"))]
+    extra = ["layoff_count", "scraped_at"] if case == 1 else []
+    side = lambda ok, n: rows.where(ok).select(*named, F.col("notice_id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in extra])
+    met = side(old, "o_id").join(side(kept, "k_id"), ["_s", "_e", "_d", *alike, *[p + k for k in alike_or_null for p in ("_no_", "_")]]).where("o_id <> k_id")
+    if case == 1:
+        met = met.where("NOT (o_id_layoff_count <=> k_id_layoff_count) AND o_id_scraped_at < k_id_scraped_at")
+    return met.select("o_id", "k_id")
+
+
 def resolve_supersession(pairs: DataFrame) -> DataFrame:
     """Greedy over the cases of each key, ties by ids: a pair is skipped if either side has already gone. -> superseded_id,
     by_id, case.

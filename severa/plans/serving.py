@@ -13,10 +13,11 @@ from severa.operators import dedup, events as ev, filters, linkage, models, plac
 from severa.operators.filters import counted, totals
 from severa.plans.adapter import COMPANIES, LOCATIONS, NC, NL, RUNS, N, companies, locations, notices, runs, table, with_
 from severa.plans.events import _DUR, _EV, _events, coverage_mask, event_dataset, person_periods as _person_periods
-from severa.plans.merging import _PAIRS, supersession_pairs
+from severa.plans.merging import _PAIRS, versions
 from severa.plans.registry import oracle_of, query
 from severa.plans.reports import panel
 from severa.plans.stats import TOP
+from severa.staging import stage
 
 AS_OF = datetime.date(2001, 7, 12)
 COUNTED = "NOT is_superseded AND closure_category IS DISTINCT FROM 'Non-WARN'"
@@ -61,7 +62,7 @@ for _case, _name in ((1, "jn09_amended_counts"), (2, "jn10_same_address"), (3, "
 
     @query(_name, f'{_PAIRS} SELECT o_id, k_id FROM q WHERE "case" = {_case}')
     def pairs_of_case(spark, sf, case=_case):
-        return supersession_pairs(spark, sf).where(F.col("case") == case).select("o_id", "k_id")
+        return dedup.pairs_of_case(stage(versions(spark, sf), "versions"), case)
 
 
 @query("jn15_usage_today", "WITH k AS (SELECT DISTINCT user_id FROM events), u AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM events GROUP BY ALL) SELECT k.user_id, coalesce(u.calls, 0) AS calls FROM k LEFT JOIN u ON u.user_id = k.user_id AND u.day = (SELECT max(CAST(ts AS DATE)) FROM events)")

@@ -17,7 +17,7 @@ from severa.plans.adapter import COMPANIES, LOCATIONS, NC, RUNS, N, companies, l
 from severa.plans.events import _EV, _SCORED, _events, _scored, average_precision, precision_at_top
 from severa.plans.registry import oracle_of, query
 from severa.sources import extracted, letters, sinks, tables
-from severa.staging import shared_dir
+from severa.staging import shared_dir, stage
 
 AS_OF = datetime.date(2001, 7, 12)
 COUNTED = "NOT is_superseded AND closure_category IS DISTINCT FROM 'Non-WARN'"
@@ -188,7 +188,7 @@ def mirror(spark, sf):
 @query("snk02_snapshots", f"{N} SELECT '2001-07-11' AS day, count(*) AS rows FROM notices WHERE notice_id % 50 <> 1 UNION ALL SELECT '2001-07-12', count(*) FROM notices")
 def snapshots(spark, sf):
     path = _folder(spark, "snapshots")
-    rows = notices(spark, sf).select("notice_id", "state")
+    rows = stage(notices(spark, sf).select("notice_id", "state"), "notices")  # read six times
     sinks.snapshot(rows.where("notice_id % 50 <> 1"), path, "2001-07-11")
     for _ in range(2):  # a day written again replaces itself
         sinks.snapshot(rows, path, "2001-07-12")
